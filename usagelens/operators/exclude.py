@@ -35,30 +35,101 @@ def _line_key(df: DataFrame, line: str = "line") -> DataFrame:
     return df.withColumn("line_hash", F.xxhash64(line))
 
 
+def line_flags(lines: DataFrame) -> DataFrame:
+    """Per-line attributes computed once per line (before the token explode
+    of the scan multiplies the line by its number of usages): the hash key of
+    the line text, the vendored-directory flag of its file and whether the
+    line carries a comment / quote marker at all."""
+    return lines.withColumn("line_hash", F.xxhash64("line")) \
+        .withColumn("vendored", in_vendored_dir("path")) \
+        .withColumn("marker", may_be_fragment(F.col("line")))
+
+
+def _on_line(big: DataFrame, small: DataFrame, by_term: bool) -> Column:
+    """Join condition "same line text (and term)": equi-keys on the 64-bit
+    line hash (and term); the text comparison is a residual condition that
+    only runs on hash hits, so long lines are never hashed or sorted again."""
+    cond = big["line_hash"] == small["f_hash"]
+    if by_term:
+        cond = cond & (big["term_id"] == small["f_term"])
+    return cond & F.coalesce(big["line"] == small["f_line"], F.lit(False))
+
+
 def fragment_category(line: Column, name: Column) -> Column:
     """T7 rules for one (line, name); NULL when the usage is real code.
 
     COMMENT: ``//`` somewhere before the name; or ``/*`` followed by the name
     with no ``*`` in between; or the line starts with ``[ \\t]*\\* ``.
     QUOTES: a double quote before and after the name. Earlier rule wins.
-    Names are identifiers, so they are literal inside the patterns.
+
+    Names are identifiers (no ``*``, no quote), so the rules reduce to
+    literal searches -- no regular expression is compiled per row:
+
+    * ``//`` rule: the name occurs at or after the first ``//`` + 2;
+    * ``/*`` rule: for some ``/*``, the text up to the next ``*`` contains
+      the name;
+    * quote rule: after the first quote the name occurs, and a quote follows
+      that first occurrence.
     """
-    c1 = F.rlike(line, F.concat(F.lit("//.*"), name))
-    c2 = F.rlike(line, F.concat(F.lit("/\\*[^*]*"), name))
+    def locate(sub, pos):
+        return F.call_function("locate", sub if isinstance(sub, Column) else F.lit(sub), line, pos)
+
+    slash = locate("//", F.lit(1))
+    c1 = (slash > 0) & (locate(name, slash + 2) > 0)
+    after_open = F.split(line, "/\\*")
+    c2 = F.exists(F.slice(after_open, 2, F.size(after_open)),
+                  lambda seg: F.substring_index(seg, "*", 1).contains(name))
     c3 = line.rlike("^[ \t]*\\* ")
-    q = F.rlike(line, F.concat(F.lit('".*'), name, F.lit('.*"')))
+    quote = locate('"', F.lit(1))
+    at = locate(name, quote + 1)
+    q = (quote > 0) & (at > 0) & (locate('"', at + F.length(name)) > 0)
     return F.when(c1 | c2 | c3, F.lit(COMMENT)).when(q, F.lit(QUOTES))
 
 
+def may_be_fragment(line: Column) -> Column:
+    """Cheap necessary condition of the T7 rules (comment or quote marker)."""
+    return (line.contains("//") | line.contains("/*") | line.contains('"')
+            | line.rlike("^[ \t]*\\* "))
+
+
 def classify_fragments(usages: DataFrame, terms: DataFrame) -> DataFrame:
     """(line, term_id, category) for every distinct (line, term) outside
-    vendored directories that lies in a comment or a string."""
+    vendored directories that lies in a comment or a string.
+
+    The category depends on (line, name) only, so it is evaluated where the
+    usage is stored (no shuffle of the long lines), and only on lines that
+    carry a marker at all (flag computed once per line by the scan); only the
+    few classified rows are de-duplicated.
+    """
     names = broadcast_checked(terms.select(F.col("id").alias("term_id"), F.col("name")))
-    pairs = (usages.where(~in_vendored_dir("path"))
-             .select("line", "term_id").dropDuplicates(["line", "term_id"]))
-    return (pairs.join(names, "term_id")
+    cand = usages.where(~F.col("vendored") & F.col("marker")).select("line", "term_id")
+    return (cand.join(names, "term_id")
             .select("line", "term_id", fragment_category(F.col("line"), F.col("name")).alias("category"))
-            .where(F.col("category").isNotNull()))
+            .where(F.col("category").isNotNull())
+            .dropDuplicates(["line", "term_id"]))
+
+
+def fragments_from_scan(usages: DataFrame) -> DataFrame:
+    """T7 when the scan already attached ``auto_category`` to each usage
+    (``fragment_category`` evaluated on marker lines outside vendored
+    directories): the distinct classified (line, term) pairs."""
+    return (usages.where(F.col("auto_category").isNotNull())
+            .select("line", "term_id", F.col("auto_category").alias("category"))
+            .dropDuplicates(["line", "term_id"]))
+
+
+# Fragment tables are broadcast only below this many rows (lines are long).
+FRAGMENT_BROADCAST_ROWS = 500_000
+
+
+def _fragment_side(fragments: DataFrame, by_term: bool, extra: list[str] | None = None) -> DataFrame:
+    cols = [F.xxhash64("line").alias("f_hash"), F.col("line").alias("f_line")]
+    if by_term:
+        cols.append(F.col("term_id").alias("f_term"))
+    for c in extra or []:
+        cols.append(F.col(c))
+    side = fragments.select(*cols).dropDuplicates(["f_hash", "f_line"] + (["f_term"] if by_term else []))
+    return broadcast_checked(side, FRAGMENT_BROADCAST_ROWS)
 
 
 def sync_manual(usages: DataFrame, auto: DataFrame) -> DataFrame:
@@ -68,28 +139,37 @@ def sync_manual(usages: DataFrame, auto: DataFrame) -> DataFrame:
     * a flagged (line, term) not listed yet becomes MANUAL;
     * a MANUAL line also found automatically is dropped;
     * fragments whose line occurs only in vendored directories are dropped.
+
+    Flagged usages are few; the last check probes the (small, size-checked)
+    fragment lines against the usages by line hash instead of
+    de-duplicating all usage lines.
     """
     flagged = usages.where(F.col("excluded")).select("line", "term_id").distinct()
     manual = anti(flagged, auto.select("line", "term_id"), ["line", "term_id"]) \
         .withColumn("category", F.lit(MANUAL))
-    manual = anti(_line_key(manual), _line_key(auto.select("line")).select("line_hash", "line"),
-                  ["line_hash", "line"]).drop("line_hash")
+    manual = anti(manual, auto.select("line"), "line")
     fragments = auto.unionByName(manual)
-    live = _line_key(usages.where(~in_vendored_dir("path")).select("line")).select("line_hash", "line")
-    return _line_key(fragments).join(live.distinct(), ["line_hash", "line"], "left_semi").drop("line_hash")
+    side = _fragment_side(fragments, by_term=False)
+    live = (usages.where(~F.col("vendored")).select("line_hash", "line")
+            .join(side, _on_line(usages, side, False), "left_semi")
+            .select(F.col("line_hash").alias("f_hash"), F.col("line").alias("f_line")).distinct())
+    frag = fragments.withColumn("f_hash", F.xxhash64("line"))
+    return frag.join(live, (frag["f_hash"] == live["f_hash"]) & (frag["line"] == live["f_line"]),
+                     "left_semi").drop("f_hash")
 
 
 def mark_excluded(usages: DataFrame, fragments: DataFrame, by_term: bool = True) -> DataFrame:
     """``excluded`` := flagged by hand OR the usage's line is listed.
 
     ``by_term=True`` matches (line, term); ``by_term=False`` reproduces the
-    study, where a listed line excludes every term on it.
+    study, where a listed line excludes every term on it. The fragment side
+    is broadcast when its size allows, so the usages are not shuffled.
     """
-    keys = ["line_hash", "line", "term_id"] if by_term else ["line_hash", "line"]
-    hit = _line_key(fragments).select(*keys).distinct().withColumn("_hit", F.lit(True))
-    out = _line_key(usages).join(hit, keys, "left")
+    side = _fragment_side(fragments, by_term).withColumn("_hit", F.lit(True))
+    out = usages.join(side, _on_line(usages, side, by_term), "left")
     return out.withColumn("excluded", F.coalesce(F.col("excluded"), F.lit(False)) |
-                          F.coalesce(F.col("_hit"), F.lit(False))).drop("_hit", "line_hash")
+                          F.coalesce(F.col("_hit"), F.lit(False))) \
+        .select(*usages.columns)
 
 
 def project_filter(projects: DataFrame, min_loc: int = MIN_LOC,
@@ -116,7 +196,8 @@ def filtered_usages(usages: DataFrame, projects: DataFrame, terms: DataFrame) ->
                                           F.col("name").alias("project_name")))
     t = broadcast_checked(terms.select(F.col("id").alias("term_id"), F.col("name").alias("term_name"),
                                        "category", "machine_specific", "documented", "header"))
-    kept = usages.where(~in_vendored_dir("path") & ~F.col("excluded"))
+    kept = usages.where(~F.col("vendored") & ~F.col("excluded")) \
+        .select("project_id", "path", "line_nr", "term_id")
     return kept.join(p, "project_id").join(t, "term_id")
 
 
@@ -128,19 +209,17 @@ def exclusion_shares(usages_raw: DataFrame, fragments: DataFrame, projects: Data
 
     One pass over the usages with conditional counts.
     """
-    keys = ["line_hash", "line", "term_id"] if by_term else ["line_hash", "line"]
-    frag = _line_key(fragments)
+    frag = fragments
     if not by_term:
         prio = F.when(F.col("category") == COMMENT, 0).when(F.col("category") == QUOTES, 1).otherwise(2)
-        frag = frag.groupBy("line_hash", "line").agg(
-            F.min_by("category", prio).alias("category"))
-    frag = frag.select(*keys, F.col("category").alias("_cat")).dropDuplicates(keys)
+        frag = frag.groupBy("line").agg(F.min_by("category", prio).alias("category"))
+    side = _fragment_side(frag.withColumnRenamed("category", "_cat"), by_term, ["_cat"])
     pk = broadcast_checked(projects.select(F.col("id").alias("project_id")).withColumn("_p", F.lit(True)))
     tk = broadcast_checked(terms.select(F.col("id").alias("term_id")).withColumn("_t", F.lit(True)))
-    u = (_line_key(usages_raw).join(frag, keys, "left")
+    u = (usages_raw.join(side, _on_line(usages_raw, side, by_term), "left")
          .join(pk, "project_id", "left").join(tk, "term_id", "left"))
     reason = (F.when(F.col("_p").isNull(), "project").when(F.col("_t").isNull(), "term")
-              .when(in_vendored_dir("path"), "vendored")
+              .when(F.col("vendored"), "vendored")
               .when(F.col("_cat") == COMMENT, "comment").when(F.col("_cat") == QUOTES, "quotes")
               .when((F.col("_cat") == MANUAL) | F.col("excluded"), "manual")
               .otherwise("kept"))

@@ -40,8 +40,8 @@ def scan_terms(lines: DataFrame, terms: DataFrame,
     Output: the line columns + ``term`` (name) + ``term_id`` (NULL for an
     identifier that only matches ``unknown_pattern``; see ``unknown_terms``).
     """
-    dim = broadcast_checked(terms.select(F.col("name").alias("token"),
-                                         F.col("id").alias("term_id")))
+    cols = [F.col("name").alias("token"), F.col("id").alias("term_id")]
+    dim = broadcast_checked(terms.select(*cols))
     toks = tokens(lines)
     if unknown_pattern:
         hits = toks.join(dim, "token", "left") \

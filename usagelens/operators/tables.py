@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import anti
+from .joins import anti, broadcast_checked
 
 
 def _keys(key) -> list[str]:
@@ -44,7 +44,7 @@ def upsert(target: DataFrame, new: DataFrame, key) -> DataFrame:
 def flag_where(target: DataFrame, keys: DataFrame, key, flag: str) -> DataFrame:
     """K6: UPDATE target SET flag = true WHERE key IN (keys)."""
     k = _keys(key)
-    hit = keys.select(*k).distinct().withColumn("_hit", F.lit(True))
+    hit = broadcast_checked(keys.select(*k).distinct().withColumn("_hit", F.lit(True)))
     out = target.join(hit, k, "left")
     return out.withColumn(flag, F.when(F.col("_hit"), F.lit(True)).otherwise(F.col(flag))) \
         .drop("_hit").select(*target.columns)

@@ -87,7 +87,7 @@ def q_mark_excluded(spark, sf):
 @register("vendored_usages")
 def q_vendored(spark, sf):
     return study(spark, sf).usages_raw.groupBy("project_id").agg(
-        F.count_if(exclude.in_vendored_dir("path")).alias("nr_vendored"),
+        F.count_if("vendored").alias("nr_vendored"),
         F.count("*").alias("nr_usages"))
 
 

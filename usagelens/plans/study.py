@@ -45,7 +45,7 @@ class UsageStudy:
     # ---- dictionary and scan
     @cached_property
     def lines(self) -> DataFrame:
-        return explode_lines(self.i.files)
+        return exclude.line_flags(explode_lines(self.i.files))
 
     @cached_property
     def documented_terms(self) -> DataFrame:
@@ -67,30 +67,36 @@ class UsageStudy:
                                                    INTERNAL_DEFAULTS), "known_terms")
 
     @cached_property
-    def scanned(self) -> DataFrame:
-        """T1 (term_id NULL for pattern-only matches), materialised."""
-        df = scan.scan_terms(self.lines, self.known_terms, self.unknown_pattern)
-        return materialise(df, "scan") if self.materialize else df
+    def unknown_names(self) -> DataFrame:
+        """Pattern-matching identifiers of the studied files that the
+        dictionary does not know."""
+        return scan.discover_terms(self.lines, self.known_terms, self.unknown_pattern)
 
     @cached_property
     def terms(self) -> DataFrame:
         """Full dictionary: documented + internal + unknown (T3 + K8)."""
-        return self._keep(tables.extend_dictionary(self.known_terms, scan.unknown_terms(self.scanned),
+        return self._keep(tables.extend_dictionary(self.known_terms, self.unknown_names,
                                                    UNKNOWN_DEFAULTS), "terms")
 
     @cached_property
     def usages_raw(self) -> DataFrame:
-        """The fact table: (project_id, path, line_nr, line, term_id, excluded)."""
-        u = scan.resolve_term_ids(self.scanned, self.terms) \
+        """T1 with the complete dictionary + manual flags (K6), materialised:
+        (project_id, path, line_nr, line, term_id, excluded)."""
+        # T7 is evaluated here, where line and term are at hand: only lines
+        # with a comment / quote marker are classified (rule in exclude.py)
+        u = scan.scan_terms(self.lines, self.terms, None) \
             .select("project_id", "path", "line_nr", "line", "term_id",
-                    F.lit(False).alias("excluded"))
+                    F.lit(False).alias("excluded"), "line_hash", "vendored",
+                    F.when(F.col("marker") & ~F.col("vendored"),
+                           exclude.fragment_category(F.col("line"), F.col("term")))
+                    .alias("auto_category"))
         u = tables.flag_where(u, self.i.manual_marks, "path", "excluded")
-        return materialise(u, "usages_raw") if self.materialize else u
+        return self._keep(u, "usages_raw")
 
     # ---- exclusion
     @cached_property
     def fragments_auto(self) -> DataFrame:
-        return exclude.classify_fragments(self.usages_raw, self.terms)
+        return self._keep(exclude.fragments_from_scan(self.usages_raw), "fragments_auto")
 
     @cached_property
     def fragments(self) -> DataFrame:

@@ -20,6 +20,9 @@ BASE_CONF = {
 }
 
 
+LOCAL_DRIVER_MEMORY = "16g"
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "usagelens") -> SparkSession:
     """Build (or reuse) a session with the engine's required settings."""
@@ -28,6 +31,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.master(master)
     for k, v in BASE_CONF.items():
         builder = builder.config(k, v)
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor
+        builder = builder.config("spark.driver.memory", LOCAL_DRIVER_MEMORY)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
