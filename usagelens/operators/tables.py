@@ -30,15 +30,18 @@ def append_if_absent(target: DataFrame, new: DataFrame, key) -> DataFrame:
 
 def upsert(target: DataFrame, new: DataFrame, key) -> DataFrame:
     """K5: INSERT OR REPLACE -- a row of ``new`` replaces the target row with
-    the same key (the last writer wins; within ``new`` the last row of the
-    order given by an optional ``_seq`` column wins)."""
+    the same key (the last writer wins; within ``new`` the row with the
+    largest optional ``_seq`` value -- any orderable type -- is the last)."""
     k = _keys(key)
     if "_seq" not in new.columns:
         new = new.withColumn("_seq", F.lit(0))
-    old = anti(target, new.select(*k), k).withColumn("_seq", F.lit(-1))
-    both = old.unionByName(new.select(*target.columns, "_seq"))
-    w = Window.partitionBy(*k).orderBy(F.col("_seq").desc())
-    return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_seq")
+    seq_type = new.schema["_seq"].dataType
+    old = anti(target, new.select(*k), k).withColumn("_seq", F.lit(None).cast(seq_type)) \
+        .withColumn("_prio", F.lit(0))
+    both = old.unionByName(new.select(*target.columns, "_seq").withColumn("_prio", F.lit(1)))
+    # groups are one key each: at most the writers of one row
+    w = Window.partitionBy(*k).orderBy(F.col("_prio").desc(), F.col("_seq").desc_nulls_last())
+    return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_seq", "_prio")
 
 
 def flag_where(target: DataFrame, keys: DataFrame, key, flag: str) -> DataFrame:

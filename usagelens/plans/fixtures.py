@@ -84,6 +84,34 @@ def usage_inputs(spark: SparkSession, sf_dir: str) -> UsageInputs:
                        projects, manual_marks, pages)
 
 
+def file_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1 input: one unified diff per document. doc_id % 3 = 0 is an added
+    file, 1 a deleted file, 2 a modified file whose odd lines are additions
+    and even lines deletions; each diff starts with the two file headers."""
+    docs = read(spark, sf_dir, "documents")
+    kind = F.when(F.col("doc_id") % 3 == 0, "ADD").when(F.col("doc_id") % 3 == 1, "DELETE") \
+        .otherwise("MODIFY")
+    path = F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".c")))
+    old_path = F.when(F.col("doc_id") % 10 == 4, F.regexp_replace(path, r"\.c$", ".cpp")).otherwise(path)
+    lines = F.split("text", "\n")
+    marked = F.array_join(F.transform(lines, lambda l, i: F.concat(
+        F.when(i % 2 == 0, F.lit("+")).otherwise(F.lit("-")), l)), "\n")
+    body = F.when(kind == "MODIFY", marked).otherwise(F.col("text"))
+    header = F.concat(F.lit("--- a/"), old_path, F.lit("\n+++ b/"), path, F.lit("\n"))
+    return docs.select(_project_id().alias("project_id"), F.col("doc_id").cast("string").alias("hash"),
+                       kind.alias("change_type"), old_path.alias("old_path"), path.alias("new_path"),
+                       F.concat(header, body).alias("diff"))
+
+
+def snapshot_versions(spark: SparkSession, sf_dir: str):
+    """H2 input: two versions of file ``doc_id div 2``: the even document is
+    the old content, the odd one the new content."""
+    docs = read(spark, sf_dir, "documents")
+    f = docs.select(_project_id().alias("project_id"), (F.col("doc_id") / 2).cast("long").alias("file_key"),
+                    F.col("doc_id"), F.col("text").alias("content"))
+    return (f.where(F.col("doc_id") % 2 == 0).drop("doc_id"), f.where(F.col("doc_id") % 2 == 1).drop("doc_id"))
+
+
 # ---------------------------------------------------------------- FX-NEED
 def needs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(project_id, term_id, name, category, machine_specific): which term each
@@ -112,18 +140,24 @@ class HistoryInputs:
 FX_DELTA = {"purchase": 3, "signup": 1, "error": -2, "click": 0}
 
 
+def _event_hash():
+    """Commit hash stand-in: the event id, zero-padded so that string order
+    is id order (the fixture's tie order)."""
+    return F.lpad(F.col("event_id").cast("string"), 12, "0")
+
+
 def history_inputs(spark: SparkSession, sf_dir: str) -> HistoryInputs:
     ev = read(spark, sf_dir, "events")
     ts = F.unix_timestamp("ts")
     commits = ev.select(
-        F.col("user_id").alias("project_id"), F.col("event_id").cast("string").alias("hash"),
+        F.col("user_id").alias("project_id"), _event_hash().alias("hash"),
         F.concat(F.col("event_type"), F.lit("\nvalue "), F.col("value").cast("string")).alias("message"),
         ts.alias("ts_unix"), F.col("event_type").alias("author"),
         F.concat(F.col("event_type"), F.lit("@example.org")).alias("email"))
     delta = F.lit(None).cast("int")
     for k, v in FX_DELTA.items():
         delta = F.when(F.col("event_type") == k, F.lit(v)).otherwise(delta)
-    deltas = ev.select(F.col("event_id").cast("string").alias("hash"),
+    deltas = ev.select(_event_hash().alias("hash"),
                        F.col("user_id").alias("project_id"), delta.alias("delta")) \
         .where(F.col("delta").isNotNull())
     projects = ev.groupBy("user_id").agg(F.min("ts").alias("f"), F.max("ts").alias("l")).select(
@@ -139,17 +173,20 @@ def history_inputs(spark: SparkSession, sf_dir: str) -> HistoryInputs:
 
 # ---------------------------------------------------------------- FX-RATING
 RESOLVER_RATER = "7"
+AUTOMATIC_RATER = "1"
+MASS_RATER = "2"
+RATING_FAMILIES = {"increasing": ["A"], "stagnant": ["R"]}
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(project_id, user, label, _seq): item = order, rater = line number,
     label = return flag. Repeated (order, line) pairs: the row with the
-    highest part key is the last writer."""
+    highest (part key, flag) is the last writer."""
     li = read(spark, sf_dir, "lineitem")
     return li.select(F.col("l_orderkey").alias("project_id"),
                      F.col("l_linenumber").cast("string").alias("user"),
                      F.col("l_returnflag").alias("label"),
-                     F.col("l_partkey").alias("_seq"))
+                     F.struct("l_partkey", "l_returnflag").alias("_seq"))
 
 
 # ---------------------------------------------------------------- FX-COVER
@@ -185,8 +222,9 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- FX-CHAIN
 def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(project_id, hash, parent): commit = order key, parent = key div 2."""
+    """(project_id, hash, parent): commit = order key, parent = key div 2
+    (key 0 is the root)."""
     o = read(spark, sf_dir, "orders")
     return o.select(F.lit(1).cast("long").alias("project_id"), F.col("o_orderkey").alias("hash"),
-                    F.when(F.col("o_orderkey") > 1, F.floor(F.col("o_orderkey") / 2))
+                    F.when(F.col("o_orderkey") > 0, F.floor(F.col("o_orderkey") / 2))
                     .cast("long").alias("parent"))
