@@ -28,8 +28,12 @@ def with_ctes(body: str, needs: list[str]) -> str:
         visit(n)
     if not order:
         return body
-    head = "WITH " + ",\n".join(f"{n} AS (\n{CTES[n][0]}\n)" for n in order)
     stripped = body.lstrip()
+    recursive = stripped.upper().startswith("WITH RECURSIVE ")
+    head = ("WITH RECURSIVE " if recursive else "WITH ") + \
+        ",\n".join(f"{n} AS (\n{CTES[n][0]}\n)" for n in order)
+    if recursive:
+        return head + ",\n" + stripped[len("WITH RECURSIVE "):]
     if stripped[:5].upper() == "WITH ":
         return head + ",\n" + stripped[5:]
     return head + "\n" + body

@@ -1,6 +1,7 @@
 """All registered queries and their oracle statements."""
 
-from . import oracle, oracle_history, queries, queries_history  # noqa: F401
+from . import (oracle, oracle_history, oracle_support, queries, queries_history,  # noqa: F401
+               queries_support)
 
 QUERIES = queries.QUERIES
 ORACLE = oracle.ORACLE
