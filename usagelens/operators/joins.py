@@ -17,8 +17,16 @@ def broadcast_checked(dim: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     The check runs a count limited to ``max_rows + 1`` rows, so it never
     scans more than the bound of a large table's first partitions.
     """
-    n = dim.limit(max_rows + 1).count()
-    return F.broadcast(dim) if n <= max_rows else dim
+    key = (dim.semanticHash(), max_rows)
+    small = _CHECKED.get(key)
+    if small is None:
+        small = dim.limit(max_rows + 1).count() <= max_rows
+        _CHECKED[key] = small
+    return F.broadcast(dim) if small else dim
+
+
+# results of size checks, by the semantic hash of the checked plan
+_CHECKED: dict = {}
 
 
 def semi(df: DataFrame, other: DataFrame, on) -> DataFrame:

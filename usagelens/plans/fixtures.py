@@ -46,14 +46,20 @@ def _project_id(col: str = "source"):
     return F.regexp_extract(F.col(col), "[0-9]+", 0).cast("long")
 
 
-def usage_inputs(spark: SparkSession, sf_dir: str) -> UsageInputs:
-    docs = read(spark, sf_dir, "documents")
+def files_of(docs: DataFrame) -> DataFrame:
+    """documents -> source files (project_id, path, content)."""
     lang_dir = F.when(F.col("lang") == "de", F.lit("gcc-de")).otherwise(F.col("lang"))
-    files = docs.select(
+    return docs.select(
         _project_id().alias("project_id"),
         F.concat_ws("/", "source", lang_dir, F.concat(F.col("doc_id").cast("string"), F.lit(".c")))
         .alias("path"),
         F.col("text").alias("content"))
+
+
+def usage_inputs(spark: SparkSession, sf_dir: str) -> UsageInputs:
+    docs = read(spark, sf_dir, "documents")
+    lang_dir = F.when(F.col("lang") == "de", F.lit("gcc-de")).otherwise(F.col("lang"))
+    files = files_of(docs)
     makefiles = docs.where(F.col("lang") == "es").select(
         _project_id().alias("project_id"),
         F.concat_ws("/", "source", F.col("doc_id").cast("string"), F.lit("Makefile")).alias("path"),
@@ -146,6 +152,15 @@ def _event_hash():
     return F.lpad(F.col("event_id").cast("string"), 12, "0")
 
 
+def deltas_of(ev: DataFrame) -> DataFrame:
+    """events -> commit deltas (hash, project_id, delta); views carry none."""
+    delta = F.lit(None).cast("int")
+    for k, v in FX_DELTA.items():
+        delta = F.when(F.col("event_type") == k, F.lit(v)).otherwise(delta)
+    return ev.select(_event_hash().alias("hash"), F.col("user_id").alias("project_id"),
+                     delta.alias("delta")).where(F.col("delta").isNotNull())
+
+
 def history_inputs(spark: SparkSession, sf_dir: str) -> HistoryInputs:
     ev = read(spark, sf_dir, "events")
     ts = F.unix_timestamp("ts")
@@ -154,12 +169,7 @@ def history_inputs(spark: SparkSession, sf_dir: str) -> HistoryInputs:
         F.concat(F.col("event_type"), F.lit("\nvalue "), F.col("value").cast("string")).alias("message"),
         ts.alias("ts_unix"), F.col("event_type").alias("author"),
         F.concat(F.col("event_type"), F.lit("@example.org")).alias("email"))
-    delta = F.lit(None).cast("int")
-    for k, v in FX_DELTA.items():
-        delta = F.when(F.col("event_type") == k, F.lit(v)).otherwise(delta)
-    deltas = ev.select(_event_hash().alias("hash"),
-                       F.col("user_id").alias("project_id"), delta.alias("delta")) \
-        .where(F.col("delta").isNotNull())
+    deltas = deltas_of(ev)
     projects = ev.groupBy("user_id").agg(F.min("ts").alias("f"), F.max("ts").alias("l")).select(
         F.col("user_id").alias("id"), F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("name"),
         F.lit("owner").alias("owner"), F.to_date("f").alias("first_commit"),

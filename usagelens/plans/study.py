@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import exclude, scan, tables
+from ..operators.joins import broadcast_checked
 from ..schema import TERMS
 from ..sources.files import explode_lines
 from ..sources.sinks import materialise
@@ -78,14 +79,33 @@ class UsageStudy:
         return self._keep(tables.extend_dictionary(self.known_terms, self.unknown_names,
                                                    UNKNOWN_DEFAULTS), "terms")
 
+    @cached_property
+    def flagged_hashes(self) -> DataFrame:
+        """Hashes of the lines of hand-flagged files (a small pre-pass over
+        those files only)."""
+        marked = self.i.files.join(self.i.manual_marks, "path", "left_semi")
+        return explode_lines(marked).select(F.xxhash64("line").alias("line_hash")).distinct()
+
     @cached_property
     def usages_raw(self) -> DataFrame:
         """T1 with the complete dictionary + manual flags (K6), materialised:
-        (project_id, path, line_nr, line, term_id, excluded)."""
+        (project_id, path, line_nr, line, term_id, excluded, line_hash,
+        vendored, auto_category).
+
+        ``line`` keeps the text only where an exclusion can need it: lines
+        with a comment / quote marker and lines equal (by hash) to a line of
+        a hand-flagged file; a usage whose text equals any fragment's text is
+        always such a line, so every text comparison stays exact. All other
+        rows carry the 64-bit hash only -- the text is not repeated once per
+        usage.
+        """
+        flagged = broadcast_checked(self.flagged_hashes.withColumn("_flagged", F.lit(True)))
+        lines = self.lines.join(flagged, "line_hash", "left")
+        keep = F.col("marker") | F.col("_flagged").isNotNull()
         # T7 is evaluated here, where line and term are at hand: only lines
         # with a comment / quote marker are classified (rule in exclude.py)
-        u = scan.scan_terms(self.lines, self.terms, None) \
-            .select("project_id", "path", "line_nr", "line", "term_id",
+        u = scan.scan_terms(lines, self.terms, None) \
+            .select("project_id", "path", "line_nr", F.when(keep, F.col("line")).alias("line"), "term_id",
                     F.lit(False).alias("excluded"), "line_hash", "vendored",
                     F.when(F.col("marker") & ~F.col("vendored"),
                            exclude.fragment_category(F.col("line"), F.col("term")))
