@@ -217,3 +217,12 @@ def project_overview(projects: DataFrame) -> DataFrame:
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
+
+
+def work_queue(projects: DataFrame, n: int, done: str = "processed") -> DataFrame:
+    """The next ``n`` projects to process: not done yet, smallest first
+    (by C LOC, ties by id) -- a top-n (TakeOrderedAndProject), no sort of the
+    whole table."""
+    loc = F.coalesce(F.col("loc_c"), F.lit(0)) + F.coalesce(F.col("loc_h"), F.lit(0))
+    return (projects.where(~F.col(done).eqNullSafe(True)).withColumn("loc", loc.cast("long"))
+            .orderBy("loc", "id").limit(n).select("id", "loc"))

@@ -136,3 +136,6 @@ q("metric_catalogue", "\nUNION ALL\n".join(
     f"SELECT '{name}' AS metric, round(CAST(({sql}) AS DOUBLE), 6) AS value" for name, sql in METRICS),
   ["terms", "excluded_terms", "terms_f", "term_counts", "usage_projects", "projects_f", "usages",
    "usages_raw", "fragments"])
+q("work_queue", """
+SELECT id, loc_c + loc_h AS loc FROM fx_projects WHERE NOT processed ORDER BY loc, id LIMIT 10""",
+  ["fx_projects"])

@@ -161,3 +161,10 @@ def q_catalogue(spark, sf):
     """Every scalar metric of the usage study as (metric, value)."""
     from ..operators.catalogue import catalogue
     return catalogue(study(spark, sf)).select("metric", "value")
+
+
+@register("work_queue")
+def q_work_queue(spark, sf):
+    """The 10 smallest projects not processed yet."""
+    from ..operators.usage import work_queue
+    return work_queue(fx.projects(spark, sf), 10)
