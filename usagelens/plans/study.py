@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import exclude, scan, tables
 from ..operators.joins import broadcast_checked
 from ..schema import TERMS
-from ..sources.files import explode_lines
+from ..sources.files import balance, explode_lines
 from ..sources.sinks import materialise
 from .fixtures import UsageInputs
 
@@ -46,7 +46,7 @@ class UsageStudy:
     # ---- dictionary and scan
     @cached_property
     def lines(self) -> DataFrame:
-        return exclude.line_flags(explode_lines(self.i.files))
+        return exclude.line_flags(explode_lines(balance(self.i.files)))
 
     @cached_property
     def documented_terms(self) -> DataFrame:

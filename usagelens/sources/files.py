@@ -50,6 +50,19 @@ def _escape(s: str) -> str:
     return re.escape(s)
 
 
+def balance(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Spread rows of an input that arrives as fewer files than the cluster
+    has task slots (e.g. one large file) round-robin over ``factor`` x the
+    default parallelism, so the scan after it is not one task. With many
+    input files -- the normal case at scale -- nothing is shuffled."""
+    sc = df.sparkSession.sparkContext
+    slots = sc.defaultParallelism
+    files = df.inputFiles()
+    if files and len(files) < slots:
+        return df.repartition(slots * factor)
+    return df
+
+
 def explode_lines(df: DataFrame, content: str = "content", keep: list[str] | None = None) -> DataFrame:
     """One row per line: (..., line_nr 1-based, line). CRLF, LF and CR end
     a line; a final terminator makes no extra line."""
