@@ -23,7 +23,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import log_band
 from ..session import cut_lineage
 from .joins import broadcast_checked
 
@@ -112,11 +111,12 @@ def coverage_inputs(universe: DataFrame, ours: DataFrame, where: Column, dims: l
     return u, u.join(ours.select(key), key, "left_semi")
 
 
-def similarity_edges(universe: DataFrame, dims: dict, key: str = "repository") -> DataFrame:
-    """Pairs (a, b) of universe rows that are similar in all dims (a covers b)."""
-    sds = _sds(universe, dims)
-    a = universe.select(F.col(key).alias("a"), *dims.keys())
-    b = universe.select(F.col(key).alias("b"), *[F.col(d).alias("s_" + d) for d in dims])
+def _similar_pairs(cands: DataFrame, targets: DataFrame, dims: dict, sds: dict, key: str) -> DataFrame:
+    """(a, b): candidate rows a similar in all dims to target rows b. Factor
+    dims and the bucketed first band dim are equi-keys; the targets side is
+    broadcast when its size was checked."""
+    a = cands.select(F.col(key).alias("a"), *dims.keys())
+    b = targets.select(F.col(key).alias("b"), *[F.col(d).alias("s_" + d) for d in dims])
     factors = [d for d, k in dims.items() if k == "equal"]
     bands = [d for d, k in dims.items() if k == "band"]
     cond = [F.col(f) == F.col("s_" + f) for f in factors]
@@ -128,30 +128,52 @@ def similarity_edges(universe: DataFrame, dims: dict, key: str = "repository") -
         cond.append(F.col("_bucket") == F.col("_sb"))
     for d, kind in dims.items():
         cond.append(_similar(d, "s_" + d, kind, sds.get(d)))
-    return a.join(b, reduce(lambda x, c: x & c, cond)).select("a", "b")
+    return a.join(broadcast_checked(b), reduce(lambda x, c: x & c, cond)).select("a", "b")
 
 
 def coverage_next(universe: DataFrame, sample: DataFrame, dims: dict, steps: int,
                   key: str = "repository") -> DataFrame:
     """Greedily add the universe row that covers most still uncovered
     universe rows (ties: smallest key), ``steps`` times or until all are
-    covered. Output (step, added, newly_covered, score)."""
+    covered. Output (step, added, newly_covered, score).
+
+    Only pairs whose second row is still uncovered are ever formed: each step
+    joins the universe with the (shrinking) uncovered set, and the rows the
+    pick covers are removed by a filter on the picked row's values -- no
+    table of all similar pairs is built.
+    """
     spark = universe.sparkSession
+    check_columns(universe, sample, dims)
+    sds = _sds(universe, dims)
     n = universe.count()
-    edges = cut_lineage(similarity_edges(universe, dims, key))
-    cov = cut_lineage(covered(universe, sample, dims, key).select(F.col(key).alias("b")))
-    n_cov = cov.count()
+    u = universe.select(key, *dims.keys())
+    uncovered = cut_lineage(u.join(covered(universe, sample, dims, key).select(key), key, "left_anti"))
+    n_open = uncovered.count()
     rows = []
     for i in range(1, steps + 1):
-        if n_cov >= n:
+        if n_open == 0:
             break
-        open_edges = edges.join(cov, "b", "left_anti")
-        best = (open_edges.groupBy("a").agg(F.count("*").alias("gain"))
+        best = (_similar_pairs(u, uncovered, dims, sds, key).groupBy("a").agg(F.count("*").alias("gain"))
                 .orderBy(F.col("gain").desc(), F.col("a")).limit(1).first())
         if best is None:
             break
-        new = open_edges.where(F.col("a") == F.lit(best["a"])).select("b")
-        cov = cut_lineage(cov.unionByName(new).distinct())
-        n_cov = cov.count()
-        rows.append((i, best["a"], best["gain"], round(n_cov / n, 6)))
-    return spark.createDataFrame(rows, f"step int, added long, newly_covered long, score double")
+        pick = u.where(F.col(key) == F.lit(best["a"])).first()
+        still = F.lit(True)
+        for d, kind in dims.items():
+            v = pick[d]
+            if v is None:
+                continue
+            if kind == "equal":
+                hit = F.col(d) == F.lit(v)
+            elif kind == "band":
+                hit = F.abs(_lg(F.col(d)) - _lg(F.lit(v))) <= BAND
+            else:
+                hit = F.abs(F.col(d) - F.lit(v)) <= sds[d]
+            still = still & F.coalesce(hit, F.lit(False))
+        if any(pick[d] is None for d in dims):
+            still = F.lit(False)
+        uncovered = cut_lineage(uncovered.where(~still))
+        left = uncovered.count()
+        rows.append((i, best["a"], n_open - left, round((n - left) / n, 6)))
+        n_open = left
+    return spark.createDataFrame(rows, "step int, added long, newly_covered long, score double")

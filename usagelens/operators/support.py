@@ -85,13 +85,14 @@ def support_greedy(needs: DataFrame, steps: int | None = None, assume_libc: bool
     projects unsupported (= supports most projects whose only missing term it
     is); ties and zero gains go to the most frequent remaining candidate.
 
-    State: the (project, term) pairs still missing, hash-partitioned by
-    project. A step is ONE aggregation job: per project the number of
-    missing terms and, if it is one, that term; grouped again by that term
-    (NULL for projects missing more) it yields every candidate's gain and the
-    number of unsupported projects -- at most one row per term, which is all
-    the driver sees. The state is checkpointed to the shared checkpoint
-    folder every few steps.
+    State: the distinct sets of still missing terms, each with the number
+    of projects that have exactly that set (projects with equal sets behave
+    identically), as (set, weight, term) rows hash-partitioned by set. A
+    step is ONE aggregation job: per set the number of missing terms and, if
+    it is one, that term; grouped again by that term (NULL for sets missing
+    more) it yields every candidate's gain and the number of unsupported
+    projects -- at most one row per term, which is all the driver sees. The
+    state is checkpointed to the shared checkpoint folder every few steps.
     """
     spark = needs.sparkSession
     cand, done = start_configuration(needs, assume_libc, assume_specific, libc_category)
@@ -99,14 +100,20 @@ def support_greedy(needs: DataFrame, steps: int | None = None, assume_libc: bool
     order = {r["term_id"]: (r["freq_rank"], r["name"])
              for r in cand.select("term_id", "name", "freq_rank").collect()}
     total = needs.select("project_id").distinct().count()
-    pairs = needs.select("project_id", "term_id")
-    missing = cut_lineage(pairs.join(done, "term_id", "left_anti").repartition("project_id"))
+    missing = needs.select("project_id", "term_id").join(done, "term_id", "left_anti")
+    # projects with the same set of missing terms behave identically: one
+    # weighted row per distinct set (its size is bounded by the candidates)
+    sets = (missing.groupBy("project_id").agg(F.array_sort(F.collect_list("term_id")).alias("s"))
+            .groupBy("s").agg(F.count("*").alias("w"))
+            .withColumn("set_id", F.monotonically_increasing_id()))
+    state = cut_lineage(sets.select("set_id", "w", F.explode("s").alias("term_id")).repartition("set_id"))
     remaining = set(order)
     limit = len(order) if steps is None else min(steps, len(order))
     rows = []
     for i in range(1, limit + 1):
-        per = missing.groupBy("project_id").agg(F.count("*").alias("n"), F.max("term_id").alias("t"))
-        g = per.groupBy(F.when(F.col("n") == 1, F.col("t")).alias("term_id")).agg(F.count("*").alias("c"))
+        per = state.groupBy("set_id").agg(F.count("*").alias("n"), F.max("term_id").alias("t"),
+                                          F.max("w").alias("w"))
+        g = per.groupBy(F.when(F.col("n") == 1, F.col("t")).alias("term_id")).agg(F.sum("w").alias("c"))
         gains, unsupported = {}, 0
         for r in g.collect():
             unsupported += r["c"]
@@ -115,9 +122,9 @@ def support_greedy(needs: DataFrame, steps: int | None = None, assume_libc: bool
         pick = min(remaining, key=lambda t: (-gains.get(t, 0), order[t][0]))
         remaining.discard(pick)
         unsupported -= gains.get(pick, 0)
-        missing = missing.where(F.col("term_id") != F.lit(pick))
+        state = state.where(F.col("term_id") != F.lit(pick))
         if i % CHECKPOINT_EVERY == 0:
-            missing = cut_lineage(missing)
+            state = cut_lineage(state)
         rows.append((i, order[pick][1], total - unsupported,
                      round((total - unsupported) * 100.0 / total, 6), GREEDY))
     return spark.createDataFrame(

@@ -8,6 +8,7 @@ from ..operators import history as H
 from ..operators import ratings as R
 from ..operators import scan, tables
 from ..sources.files import explode_lines
+from ..sources.sinks import materialise
 from . import fixtures as fx
 from .queries import register, study
 
@@ -18,7 +19,8 @@ def hist(spark, sf):
     key = (id(spark), sf)
     if key not in _HIST:
         i = fx.history_inputs(spark, sf)
-        _HIST[key] = (i, H.commit_net(i.commits, i.deltas))
+        # the per-commit view every history query starts from, materialised once
+        _HIST[key] = (i, materialise(H.commit_net(i.commits, i.deltas), "commit_net"))
     return _HIST[key]
 
 
