@@ -89,10 +89,9 @@ def covered(universe: DataFrame, sample: DataFrame, dims: dict, key: str = "repo
 def coverage_score(universe: DataFrame, sample: DataFrame, dims: dict,
                    key: str = "repository") -> DataFrame:
     """Covered universe rows / all universe rows (one row)."""
-    n = universe.agg(F.count("*").alias("universe"))
+    n = universe.agg(F.count("*")).scalar()
     c = covered(universe, sample, dims, key).agg(F.count("*").alias("covered"))
-    return c.crossJoin(n).select("covered", "universe",
-                                 F.round(F.col("covered") / F.col("universe"), 6).alias("score"))
+    return c.select("covered", n.alias("universe"), F.round(F.col("covered") / n, 6).alias("score"))
 
 
 def coverage_by_dimension(universe: DataFrame, sample: DataFrame, dims: dict,

@@ -65,16 +65,16 @@ def support_by_frequency(needs: DataFrame, assume_libc: bool = False,
         done.withColumn("step", F.lit(0))))
     per_project = needs.select("project_id", "term_id").join(ranks, "term_id") \
         .groupBy("project_id").agg(F.max("step").alias("need"))
-    total = needs.select("project_id").distinct().agg(F.count("*").alias("total"))
+    total = needs.select("project_id").distinct().agg(F.count("*")).scalar()
     at = per_project.groupBy("need").agg(F.count("*").alias("newly"))
-    base = at.where("need = 0").agg(F.coalesce(F.sum("newly"), F.lit(0)).alias("base"))
+    base = at.where("need = 0").agg(F.coalesce(F.sum("newly"), F.lit(0))).scalar()
     curve = (step.select("step", "name").join(at, at.need == step.step, "left")
              .withColumn("supported", F.sum(F.coalesce("newly", F.lit(0))).over(
                  Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))))
-    return (curve.crossJoin(base).crossJoin(total)
+    return (curve
             .select(F.col("step").alias("nr_terms"), "name",
-                    (F.col("supported") + F.col("base")).alias("supported"),
-                    F.round((F.col("supported") + F.col("base")) * 100.0 / F.col("total"), 6)
+                    (F.col("supported") + base).alias("supported"),
+                    F.round((F.col("supported") + base) * 100.0 / total, 6)
                     .alias("pct_projects"),
                     F.lit(MOST_FREQUENT).alias("decision")))
 

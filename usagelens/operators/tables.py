@@ -71,10 +71,10 @@ def extend_dictionary(terms: DataFrame, names: DataFrame, defaults: dict) -> Dat
     """
     new = anti(names.select("name").where(F.col("name").isNotNull()).distinct(),
                terms.select("name"), "name")
-    base = terms.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base"))
+    base = terms.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     ranked = new.withColumn("_rank", F.row_number().over(Window.orderBy("name")))
-    added = ranked.crossJoin(base).select(
-        (F.col("_base") + F.col("_rank")).cast("long").alias("id"), "name",
+    added = ranked.select(
+        (base + F.col("_rank")).cast("long").alias("id"), "name",
         *[F.lit(v).alias(c) for c, v in defaults.items()])
     for c in terms.columns:
         if c not in added.columns:

@@ -22,8 +22,9 @@ KIND = {True: "machine-specific", False: "machine-independent"}
 
 def unique_usages(usages: DataFrame) -> DataFrame:
     """V1: distinct (project, term) with the term's attributes."""
-    return usages.select("project_id", "term_id", "term_name", "category", "machine_specific") \
-        .dropDuplicates(["project_id", "term_id"])
+    # the attributes depend on the term only: grouping on all of them is a
+    # hash aggregate (dropDuplicates would keep first() buffers, sort-based)
+    return usages.select("project_id", "term_id", "term_name", "category", "machine_specific").distinct()
 
 
 def term_counts(usages: DataFrame) -> DataFrame:
@@ -101,10 +102,10 @@ def top_terms(usages: DataFrame, synonyms: DataFrame, k: int = 10) -> DataFrame:
     counts = term_counts(usages)
     top = counts.orderBy(F.col("projects").desc(), "term_id").limit(k)
     syn = broadcast_checked(synonyms.select(F.col("name").alias("term_name"), "synonym"))
-    total = project_total(usages)
-    return (top.join(syn, "term_name", "left").crossJoin(total)
+    total = project_total(usages).scalar()
+    return (top.join(syn, "term_name", "left")
             .select("term_id", "term_name", "category", "synonym", "projects",
-                    F.round(F.col("projects") * 100.0 / F.col("nr_projects"), 6).alias("pct_projects")))
+                    F.round(F.col("projects") * 100.0 / total, 6).alias("pct_projects")))
 
 
 def synonym_breakdown(usages: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -206,13 +207,13 @@ def project_overview(projects: DataFrame) -> DataFrame:
     for m in ["loc", "commits", "committers"]:
         rows.append(p.agg(F.lit(m).alias("metric"), F.min(m).cast("double").alias("min_value"),
                           F.max(m).cast("double").alias("max_value"),
-                          F.round(F.avg(m), 6).alias("avg_value"))
-                    .crossJoin(med.select(F.col(m).cast("double").alias("median_by_loc"))))
+                          F.round(F.avg(m), 6).alias("avg_value"),
+                          med.select(F.col(m).cast("double")).scalar().alias("median_by_loc")))
     for m in ["first_commit", "last_commit"]:
         e = F.unix_timestamp(F.col(m).cast("timestamp")).cast("double")
         rows.append(p.agg(F.lit(m).alias("metric"), F.min(e).alias("min_value"),
-                          F.max(e).alias("max_value"), F.lit(None).cast("double").alias("avg_value"))
-                    .crossJoin(med.select(e.alias("median_by_loc"))))
+                          F.max(e).alias("max_value"), F.lit(None).cast("double").alias("avg_value"),
+                          med.select(e).scalar().alias("median_by_loc")))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
