@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .joins import broadcast_checked
+from .windows import global_rank, global_running_sum
 
 # Category of libc-like terms; decision names of the output
 LIBC_CATEGORY = "other-libc"
@@ -23,12 +24,11 @@ CHECKPOINT_EVERY = 5
 
 
 def frequency(needs: DataFrame) -> DataFrame:
-    """Terms by number of projects, ranked (1 = most frequent; ties by id).
-    The ranking runs over the term dimension (one row per term)."""
+    """Terms by number of projects, ranked (1 = most frequent; ties by id)
+    with a distributed sort (``windows.global_rank``)."""
     counts = needs.groupBy("term_id", "name", "category", "machine_specific") \
         .agg(F.count("*").alias("projects"))
-    return counts.withColumn("freq_rank", F.row_number().over(
-        Window.orderBy(F.col("projects").desc(), F.col("term_id"))))
+    return global_rank(counts, [F.col("projects").desc(), F.col("term_id")], "freq_rank")
 
 
 def start_configuration(needs: DataFrame, assume_libc: bool, assume_specific: bool,
@@ -38,7 +38,8 @@ def start_configuration(needs: DataFrame, assume_libc: bool, assume_specific: bo
     assume_specific: machine-specific terms count as implemented; assume_libc:
     libc-like terms count as implemented. (The study's both-true branch
     seeds the inverse set; here both sets are seeded.)"""
-    terms = frequency(needs)
+    terms = needs.groupBy("term_id", "name", "category", "machine_specific") \
+        .agg(F.count("*").alias("projects"))
     spec = F.col("machine_specific").eqNullSafe(True)
     libc = F.col("category").eqNullSafe(libc_category)
     done = F.lit(False)
@@ -46,7 +47,9 @@ def start_configuration(needs: DataFrame, assume_libc: bool, assume_specific: bo
         done = done | spec
     if assume_libc:
         done = done | libc
-    return terms.where(~done), terms.where(done).select("term_id")
+    # candidates ranked by frequency (1 = most frequent, ties by id)
+    cand = global_rank(terms.where(~done), [F.col("projects").desc(), F.col("term_id")], "freq_rank")
+    return cand, terms.where(done).select("term_id")
 
 
 def support_by_frequency(needs: DataFrame, assume_libc: bool = False,
@@ -60,7 +63,7 @@ def support_by_frequency(needs: DataFrame, assume_libc: bool = False,
     steps gives the curve.
     """
     cand, done = start_configuration(needs, assume_libc, assume_specific, libc_category)
-    step = cand.withColumn("step", F.row_number().over(Window.orderBy("freq_rank")))
+    step = cand.withColumnRenamed("freq_rank", "step")
     ranks = broadcast_checked(step.select("term_id", "step").unionByName(
         done.withColumn("step", F.lit(0))))
     per_project = needs.select("project_id", "term_id").join(ranks, "term_id") \
@@ -68,9 +71,10 @@ def support_by_frequency(needs: DataFrame, assume_libc: bool = False,
     total = needs.select("project_id").distinct().agg(F.count("*")).scalar()
     at = per_project.groupBy("need").agg(F.count("*").alias("newly"))
     base = at.where("need = 0").agg(F.coalesce(F.sum("newly"), F.lit(0))).scalar()
-    curve = (step.select("step", "name").join(at, at.need == step.step, "left")
-             .withColumn("supported", F.sum(F.coalesce("newly", F.lit(0))).over(
-                 Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))))
+    curve = global_running_sum(
+        step.select("step", "name").join(at, at.need == step.step, "left")
+        .select("step", "name", F.coalesce("newly", F.lit(0)).alias("newly")),
+        [F.col("step")], "newly", "supported")
     return (curve
             .select(F.col("step").alias("nr_terms"), "name",
                     (F.col("supported") + base).alias("supported"),

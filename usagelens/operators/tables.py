@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import anti, broadcast_checked
+from .windows import global_rank
 
 
 def _keys(key) -> list[str]:
@@ -66,13 +67,13 @@ def extend_dictionary(terms: DataFrame, names: DataFrame, defaults: dict) -> Dat
     """K8: give unseen names a new id ``max(id) + rank`` (ranked by name) and
     append them with the given attribute values; each name gets one id.
 
-    The ranking is over the *new names* only, a dictionary dimension (its size
-    is bounded by the vocabulary, not by the scanned data).
+    The ranking is a distributed sort of the new names (``global_rank``),
+    not a single-partition window.
     """
     new = anti(names.select("name").where(F.col("name").isNotNull()).distinct(),
                terms.select("name"), "name")
     base = terms.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    ranked = new.withColumn("_rank", F.row_number().over(Window.orderBy("name")))
+    ranked = global_rank(new, [F.col("name")], "_rank")
     added = ranked.select(
         (base + F.col("_rank")).cast("long").alias("id"), "name",
         *[F.lit(v).alias(c) for c, v in defaults.items()])

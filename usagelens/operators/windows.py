@@ -52,3 +52,53 @@ def row_number(df: DataFrame, key: str, ts: str, tie: str, out: str,
     one = "_one"
     r = running_sum(df.withColumn(one, F.lit(1)), key, ts, tie, one, out, descending, width)
     return r.withColumn(out, F.col(out).cast("int")).drop(one)
+
+
+def _ranged(df: DataFrame, order: list, partitions: int | None) -> DataFrame:
+    """Range-partition + sort within partitions (a distributed sort), with
+    the partition id and a per-partition increasing id fixed by a reliable
+    checkpoint (so the two passes below see the same layout)."""
+    from ..session import cut_lineage
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    s = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_mono", F.monotonically_increasing_id()))
+    return cut_lineage(s)
+
+
+def _offsets(spark, rows: list[tuple], value_type: str) -> DataFrame:
+    return F.broadcast(spark.createDataFrame(rows, f"_pid int, _first long, _off {value_type}"))
+
+
+def global_rank(df: DataFrame, order: list, out: str, partitions: int | None = None) -> DataFrame:
+    """1-based position of each row in a total ``order`` (make it total with
+    a unique tie-break), without a single-partition window: a distributed
+    sort, one tiny job for the row count per partition (one row per
+    partition reaches the driver), and per-partition offsets."""
+    s = _ranged(df, order, partitions)
+    stats = sorted(s.groupBy("_pid").agg(F.count("*").alias("c"), F.min("_mono").alias("m0")).collect())
+    rows, acc = [], 0
+    for r in stats:
+        rows.append((r["_pid"], r["m0"], acc))
+        acc += r["c"]
+    off = _offsets(df.sparkSession, rows, "long")
+    return (s.join(off, "_pid")
+            .withColumn(out, (F.col("_off") + F.col("_mono") - F.col("_first") + 1).cast("long"))
+            .drop("_pid", "_mono", "_first", "_off"))
+
+
+def global_running_sum(df: DataFrame, order: list, value: str, out: str,
+                       partitions: int | None = None) -> DataFrame:
+    """Running sum of ``value`` over a total ``order`` of all rows, without a
+    single-partition window: per range partition the sum (one row per
+    partition reaches the driver), offsets, then a window per partition."""
+    s = _ranged(df, order, partitions)
+    stats = sorted(s.groupBy("_pid").agg(F.sum(value).alias("t"), F.min("_mono").alias("m0")).collect())
+    rows, acc = [], 0
+    for r in stats:
+        rows.append((r["_pid"], r["m0"], acc))
+        acc += r["t"] or 0
+    off = _offsets(df.sparkSession, rows, "long")
+    w = Window.partitionBy("_pid").orderBy("_mono").rowsBetween(Window.unboundedPreceding, 0)
+    return (s.join(off, "_pid").withColumn(out, F.col("_off") + F.sum(value).over(w))
+            .drop("_pid", "_mono", "_first", "_off"))
