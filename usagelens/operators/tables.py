@@ -84,6 +84,19 @@ def extend_dictionary(terms: DataFrame, names: DataFrame, defaults: dict) -> Dat
     return terms.unionByName(added)
 
 
+def assign_ids(parts: list[DataFrame], schema) -> DataFrame:
+    """K8 for a whole dictionary at once: disjoint name groups (each with all
+    attribute columns but ``id``) get ids 1..n in (group, name) order -- the
+    ids ``extend_dictionary`` would give when the groups are added one after
+    the other -- with a single distributed rank."""
+    tagged = [p.withColumn("_grp", F.lit(i)) for i, p in enumerate(parts)]
+    u = tagged[0]
+    for t in tagged[1:]:
+        u = u.unionByName(t)
+    ranked = global_rank(u, [F.col("_grp"), F.col("name")], "id")
+    return ranked.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+
+
 def reject_known(new: DataFrame, existing: DataFrame, key: str = "url") -> DataFrame:
     """K9: drop incoming rows whose key already exists; duplicates in the
     input keep the first row by all columns."""

@@ -27,14 +27,6 @@ UNKNOWN_DEFAULTS = {"category": scan.UNKNOWN_CATEGORY, "machine_specific": False
                     "documented": False}
 
 
-def number_terms(defs: DataFrame) -> DataFrame:
-    """Documented definitions -> TERMS with ids 1..n in name order (K8 on an
-    empty dictionary, attributes kept)."""
-    ids = tables.extend_dictionary(
-        defs.sparkSession.createDataFrame([], TERMS), defs.select("name"), {}).select("id", "name")
-    return ids.join(defs, "name").select(*TERMS.fieldNames())
-
-
 class UsageStudy:
     def __init__(self, inputs: UsageInputs, unknown_pattern: str = scan.UNKNOWN_PATTERN,
                  by_term: bool = True, materialize: bool = True):
@@ -48,36 +40,47 @@ class UsageStudy:
     def lines(self) -> DataFrame:
         return exclude.line_flags(explode_lines(balance(self.i.files)))
 
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        return materialise(df, name) if self.materialize else df
+
     @cached_property
-    def documented_terms(self) -> DataFrame:
-        return number_terms(self.i.term_defs)
+    def documented_names(self) -> DataFrame:
+        return self.i.term_defs.select("name")
 
     @cached_property
     def internal_names(self) -> DataFrame:
-        """T2 on the definitive corpus."""
-        return scan.discover_terms(explode_lines(self.i.reference_files), self.documented_terms,
+        """Pattern-matching identifiers of the definitive corpus that are
+        not documented."""
+        return scan.discover_terms(explode_lines(self.i.reference_files), self.documented_names,
                                    self.unknown_pattern)
 
-    def _keep(self, df: DataFrame, name: str) -> DataFrame:
-        return materialise(df, name) if self.materialize else df
-
-    @cached_property
-    def known_terms(self) -> DataFrame:
-        """Documented + internal terms, materialised (a small dimension)."""
-        return self._keep(tables.extend_dictionary(self.documented_terms, self.internal_names,
-                                                   INTERNAL_DEFAULTS), "known_terms")
-
     @cached_property
     def unknown_names(self) -> DataFrame:
-        """Pattern-matching identifiers of the studied files that the
-        dictionary does not know."""
-        return scan.discover_terms(self.lines, self.known_terms, self.unknown_pattern)
+        """Pattern-matching identifiers of the studied files that are
+        neither documented nor internal."""
+        known = self.documented_names.unionByName(self.internal_names)
+        return scan.discover_terms(self.lines, known, self.unknown_pattern)
 
     @cached_property
     def terms(self) -> DataFrame:
-        """Full dictionary: documented + internal + unknown (T3 + K8)."""
-        return self._keep(tables.extend_dictionary(self.known_terms, self.unknown_names,
-                                                   UNKNOWN_DEFAULTS), "terms")
+        """Full dictionary (K8): documented, then internal, then unknown terms,
+        ids in (group, name) order from one distributed rank; materialised."""
+        def with_defaults(names: DataFrame, defaults: dict) -> DataFrame:
+            cols = [F.col("name")]
+            for f in TERMS.fields:
+                if f.name not in ("id", "name"):
+                    cols.append(F.lit(defaults.get(f.name)).cast(f.dataType).alias(f.name))
+            return names.select(*cols)
+
+        documented = self.i.term_defs.select(*[c for c in TERMS.fieldNames() if c != "id"])
+        parts = [documented, with_defaults(self.internal_names, INTERNAL_DEFAULTS),
+                 with_defaults(self.unknown_names, UNKNOWN_DEFAULTS)]
+        return self._keep(tables.assign_ids(parts, TERMS), "terms")
+
+    @cached_property
+    def known_terms(self) -> DataFrame:
+        """Documented + internal terms (the dictionary before T3)."""
+        return self.terms.where(~F.col("category").eqNullSafe(scan.UNKNOWN_CATEGORY))
 
     @cached_property
     def flagged_hashes(self) -> DataFrame:
