@@ -31,8 +31,8 @@ def test_path_and_message_helpers(spark):
 
 
 def test_url_parts(spark):
-    assert one(spark, T.url_owner("x"), "https://github.com/graalvm/sulong") == "graalvm"
-    assert one(spark, T.url_name("x"), "https://github.com/graalvm/sulong") == "sulong"
+    assert one(spark, T.url_owner("x"), "https://github.com/acme/widget") == "acme"
+    assert one(spark, T.url_name("x"), "https://github.com/acme/widget") == "widget"
     assert one(spark, T.url_name("x"), "https://example.org/a") is None
 
 
