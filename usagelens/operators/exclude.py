@@ -140,22 +140,27 @@ def sync_manual(usages: DataFrame, auto: DataFrame) -> DataFrame:
     * a MANUAL line also found automatically is dropped;
     * fragments whose line occurs only in vendored directories are dropped.
 
-    Flagged usages are few; the last check probes the (small, size-checked)
-    fragment lines against the usages by line hash instead of
-    de-duplicating all usage lines.
+    Automatic fragments come from usages outside vendored directories, so
+    they are live by construction; a manual fragment is live when one of its
+    own flagged usages is outside them. Only the remaining manual lines are
+    probed (by line hash, size-checked broadcast) against all usages.
     """
-    flagged = usages.where(F.col("excluded")).select("line", "term_id").distinct()
-    manual = anti(flagged, auto.select("line", "term_id"), ["line", "term_id"]) \
-        .withColumn("category", F.lit(MANUAL))
-    manual = anti(manual, auto.select("line"), "line")
-    fragments = auto.unionByName(manual)
-    side = _fragment_side(fragments, by_term=False)
+    flagged = usages.where(F.col("excluded")).groupBy("line", "term_id") \
+        .agg(F.bool_or(~F.col("vendored")).alias("_live"))
+    auto_pairs = broadcast_checked(auto.select("line", "term_id").distinct(), FRAGMENT_BROADCAST_ROWS)
+    auto_lines = broadcast_checked(auto.select("line").distinct(), FRAGMENT_BROADCAST_ROWS)
+    manual = (anti(flagged, auto_pairs, ["line", "term_id"]).join(auto_lines, "line", "left_anti")
+              .withColumn("category", F.lit(MANUAL)))
+    sure = manual.where(F.col("_live")).drop("_live")
+    unsure = manual.where(~F.col("_live")).drop("_live")
+    side = _fragment_side(unsure, by_term=False)
     live = (usages.where(~F.col("vendored")).select("line_hash", "line")
             .join(side, _on_line(usages, side, False), "left_semi")
             .select(F.col("line_hash").alias("f_hash"), F.col("line").alias("f_line")).distinct())
-    frag = fragments.withColumn("f_hash", F.xxhash64("line"))
-    return frag.join(live, (frag["f_hash"] == live["f_hash"]) & (frag["line"] == live["f_line"]),
-                     "left_semi").drop("f_hash")
+    probed = unsure.withColumn("f_hash", F.xxhash64("line"))
+    probed = probed.join(live, (probed["f_hash"] == live["f_hash"]) & (probed["line"] == live["f_line"]),
+                         "left_semi").drop("f_hash")
+    return auto.select("line", "term_id", "category").unionByName(sure).unionByName(probed)
 
 
 def mark_excluded(usages: DataFrame, fragments: DataFrame, by_term: bool = True) -> DataFrame:
