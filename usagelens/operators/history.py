@@ -198,9 +198,11 @@ def trend_features(net: DataFrame, projects: DataFrame) -> DataFrame:
     and the maximum of the last max(1, int(0.1 n)) points, the value at
     position n div 2 (0-based) and the number of points outside +-10 % of it.
     """
-    series = usage_series(net).join(analysed_projects(net, projects), "project_id", "left_semi")
-    with_delta = series.join(net.select("project_id", "hash", "net"), ["project_id", "hash"])
-    pos = windows.row_number(with_delta, "project_id", "ts_unix", "hash", "pos")
+    nz = (net.where(F.col("net") != 0).select("project_id", "hash", "ts_unix", "net")
+          .join(analysed_projects(net, projects), "project_id", "left_semi")
+          .withColumn("_one", F.lit(1)))
+    # running total and position of each point in one chunked pass
+    pos = windows.running_sums(nz, "project_id", "ts_unix", "hash", {"nr_terms": "net", "pos": "_one"})
     n = pos.groupBy("project_id").agg(F.count("*").alias("n"))
     p = pos.join(n, "project_id")
     tail = F.greatest(F.lit(1), F.floor(F.col("n") * 0.10).cast("long"))

@@ -26,23 +26,33 @@ def _chunk(ts: Column, width: int) -> Column:
     return F.floor(ts / F.lit(width)).cast("long")
 
 
-def running_sum(df: DataFrame, key: str, ts: str, tie: str, value: str, out: str,
-                descending: bool = False, width: int = CHUNK_SECONDS) -> DataFrame:
-    """``out`` = sum of ``value`` over the rows of the same ``key`` up to and
-    including this row in (ts, tie) order (or descending order)."""
+def running_sums(df: DataFrame, key: str, ts: str, tie: str, sums: dict[str, str],
+                 descending: bool = False, width: int = CHUNK_SECONDS) -> DataFrame:
+    """For each ``out: value`` of ``sums``: the sum of ``value`` over the rows
+    of the same ``key`` up to and including this row in (ts, tie) order (or
+    descending order) -- all of them in one chunked pass."""
     c = _chunk(F.col(ts), width)
     if descending:
         c = -c
     d = df.withColumn("_chunk", c)
-    part = d.groupBy(key, "_chunk").agg(F.sum(value).alias("_part"))
+    part = d.groupBy(key, "_chunk").agg(*[F.sum(v).alias("_p_" + o) for o, v in sums.items()])
     w_off = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.withColumn("_off", F.coalesce(F.sum("_part").over(w_off), F.lit(0))).drop("_part")
+    part = part.select(key, "_chunk", *[F.coalesce(F.sum("_p_" + o).over(w_off), F.lit(0)).alias("_o_" + o)
+                                        for o in sums])
     order = [F.col(ts).desc(), F.col(tie).desc()] if descending else [F.col(ts), F.col(tie)]
     w_in = Window.partitionBy(key, "_chunk").orderBy(*order) \
         .rowsBetween(Window.unboundedPreceding, 0)
-    return (d.join(part, [key, "_chunk"])
-            .withColumn(out, F.col("_off") + F.sum(value).over(w_in))
-            .drop("_chunk", "_off"))
+    out = d.join(part, [key, "_chunk"])
+    for o, v in sums.items():
+        out = out.withColumn(o, F.col("_o_" + o) + F.sum(v).over(w_in))
+    return out.drop("_chunk", *["_o_" + o for o in sums])
+
+
+def running_sum(df: DataFrame, key: str, ts: str, tie: str, value: str, out: str,
+                descending: bool = False, width: int = CHUNK_SECONDS) -> DataFrame:
+    """``out`` = sum of ``value`` over the rows of the same ``key`` up to and
+    including this row in (ts, tie) order (or descending order)."""
+    return running_sums(df, key, ts, tie, {out: value}, descending, width)
 
 
 def row_number(df: DataFrame, key: str, ts: str, tie: str, out: str,
