@@ -106,3 +106,13 @@ def test_extend_dictionary(spark):
     out = extend_dictionary(t, names, {"category": "Unknown", "documented": False})
     got = sorted((r.id, r.name, r.category) for r in out.collect())
     assert got == [(1, "a", "c"), (2, "b", "Unknown"), (3, "c", "Unknown")]
+
+
+def test_discover_terms_prefix_filter(spark):
+    assert scan.literal_prefix("^__builtin_[a-zA-Z0-9]") == "__builtin_"
+    assert scan.literal_prefix("<[a-z]") is None
+    lines = spark.createDataFrame([("x = __builtin_new1(a) + __builtin_clz(b);",), ("nothing here",),
+                                   ("my__builtin_no __builtin_new2",)], "line string")
+    known = spark.createDataFrame([("__builtin_clz",)], "name string")
+    got = sorted(r.name for r in scan.discover_terms(lines, known).collect())
+    assert got == ["__builtin_new1", "__builtin_new2"]

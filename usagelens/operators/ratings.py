@@ -89,7 +89,7 @@ def worklist(items: DataFrame, ratings: DataFrame, user: str, label: str | None
 
 
 def label_distribution(ratings: DataFrame) -> DataFrame:
-    """Number of ratings per label, descending."""
+    """Number of ratings per label (order by ``count`` for the table)."""
     return ratings.groupBy("label").agg(F.count("*").alias("count"))
 
 

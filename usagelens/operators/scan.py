@@ -9,6 +9,8 @@ no shuffle -- the scanned text is never moved between executors.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,9 +61,22 @@ def resolve_term_ids(usages: DataFrame, terms: DataFrame) -> DataFrame:
         .withColumn("term_id", F.coalesce("term_id", "_id")).drop("_id")
 
 
+def literal_prefix(pattern: str) -> str | None:
+    """The literal identifier characters an anchored pattern starts with
+    (``^__builtin_[a-z]`` -> ``__builtin_``), or None."""
+    m = re.match(r"\^([A-Za-z0-9_]+)", pattern)
+    return m.group(1) if m else None
+
+
 def discover_terms(lines: DataFrame, terms: DataFrame, pattern: str = UNKNOWN_PATTERN) -> DataFrame:
     """Distinct identifiers matching ``pattern`` that the dictionary
-    does not know (every one of a line, not only those before a known name)."""
+    does not know (every one of a line, not only those before a known name).
+
+    Only lines containing the pattern's literal prefix can hold a match, so
+    a byte search skips tokenising all other lines."""
+    prefix = literal_prefix(pattern)
+    if prefix:
+        lines = lines.where(F.col("line").contains(prefix))
     found = tokens(lines).where(F.col("token").rlike(pattern)) \
         .select(F.col("token").alias("name")).distinct()
     return anti(found, terms.select("name"), "name")

@@ -40,7 +40,8 @@ def project_total(usages: DataFrame) -> DataFrame:
 
 
 def category_counts(usages: DataFrame, machine_specific: bool | None = None) -> DataFrame:
-    """V3: projects per category (optionally of one kind), descending."""
+    """V3: projects per category (optionally of one kind); order with
+    ``orderBy(F.col("projects").desc())`` where a ranking is wanted (L5)."""
     u = usages if machine_specific is None else \
         usages.where(F.col("machine_specific") == F.lit(machine_specific))
     return (u.select("project_id", "category").distinct().groupBy("category")

@@ -1,9 +1,10 @@
 """Bindings of the driver's test tables to the engine's input schemas.
 
-Each function only *renames and types* columns of the given tables so that
-they have the shape of a study's inputs (source files, dictionary, projects,
-commits, ratings, ...). None of them performs an operator's work: scanning,
-filtering, ranking etc. all happen in ``usagelens.operators`` on these inputs.
+Each function only shapes columns of the given tables into a study's input
+schema (source files, dictionary, projects, commits, diffs, ratings, ...):
+renaming, typing, building paths or diff text from document text. None of
+them performs an operator's work: scanning, filtering, ranking etc. all
+happen in ``usagelens.operators`` on these inputs.
 The same bindings are written as SQL in ``plans.oracle`` for the DuckDB check.
 """
 
