@@ -76,3 +76,12 @@ def test_trend_rules(spark):
     r = H.trend_rules(H.trend_features(net, projects)).first()
     # n = 4 non-zero commits; values 3, 1, 4, 5; median position 3 -> 4
     assert (r.few_commits, r.monotonic, r.mostly_increasing) == (True, False, False)
+
+
+def test_running_sum_hot_key_same_timestamp(spark):
+    # one key with most rows, all at the same second: order falls to the tie column
+    rows = [(1, f"h{i:05d}", 100, 1) for i in range(3000)] + [(2, f"g{i:03d}", i, 2) for i in range(50)]
+    df = spark.createDataFrame(rows, "k long, h string, ts long, v long")
+    got = {r.h: r.acc for r in windows.running_sum(df, "k", "ts", "h", "v", "acc", partitions=8).collect()}
+    assert got["h00000"] == 1 and got["h02999"] == 3000 and got["g049"] == 100
+    assert all(got[f"h{i:05d}"] == i + 1 for i in range(3000))

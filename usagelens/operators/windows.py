@@ -1,66 +1,62 @@
-"""Skew-safe running aggregates over an ordered series per key.
+"""Skew-safe running aggregates and global ranks.
 
 ``Window.partitionBy(key).orderBy(t)`` sends every row of a key to one task;
-a project holding a third of all commits would then run in one task. The
-helpers below split each key's series into time chunks:
-
-1. per (key, chunk) partial sums / counts (map-side combined, tiny);
-2. exclusive prefix of those partials per key (a window over the small
-   partial table) = the offset of each chunk;
-3. the running value inside each (key, chunk) plus the chunk's offset.
-
-Steps 1-3 are exact; the only shuffle of the big side is by (key, chunk),
-which spreads a hot key over as many tasks as it has chunks.
+a project holding a third of all commits would then run in one task, and a
+window without ``partitionBy`` runs everything in one task. The helpers
+below sort with ``repartitionByRange`` instead (sampled boundaries split hot
+keys), fix the layout with a reliable checkpoint, and combine per-partition
+partial results through small offset tables -- exact, with no task holding
+more than about one range partition.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Default chunk width for epoch-second series: one day.
-CHUNK_SECONDS = 86_400
-
-
-def _chunk(ts: Column, width: int) -> Column:
-    return F.floor(ts / F.lit(width)).cast("long")
-
 
 def running_sums(df: DataFrame, key: str, ts: str, tie: str, sums: dict[str, str],
-                 descending: bool = False, width: int = CHUNK_SECONDS) -> DataFrame:
+                 descending: bool = False, partitions: int | None = None) -> DataFrame:
     """For each ``out: value`` of ``sums``: the sum of ``value`` over the rows
     of the same ``key`` up to and including this row in (ts, tie) order (or
-    descending order) -- all of them in one chunked pass."""
-    c = _chunk(F.col(ts), width)
+    descending order) -- all of them in one pass.
+
+    The rows are range-partitioned on (key, ts, tie): the sampled range
+    boundaries cut through a hot key (even through one busy day of it), so
+    no task holds more than about one partition's share. Per (key,
+    partition) a partial sum; a window over that small table gives each
+    (key, partition) its offset; a window per (key, partition) adds the
+    running part.
+    """
     if descending:
-        c = -c
-    d = df.withColumn("_chunk", c)
-    part = d.groupBy(key, "_chunk").agg(*[F.sum(v).alias("_p_" + o) for o, v in sums.items()])
-    w_off = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.select(key, "_chunk", *[F.coalesce(F.sum("_p_" + o).over(w_off), F.lit(0)).alias("_o_" + o)
-                                        for o in sums])
-    order = [F.col(ts).desc(), F.col(tie).desc()] if descending else [F.col(ts), F.col(tie)]
-    w_in = Window.partitionBy(key, "_chunk").orderBy(*order) \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    out = d.join(part, [key, "_chunk"])
+        order = [F.col(key), F.col(ts).desc(), F.col(tie).desc()]
+    else:
+        order = [F.col(key), F.col(ts), F.col(tie)]
+    s = _ranged(df, order, partitions)
+    part = s.groupBy(key, "_pid").agg(*[F.sum(v).alias("_p_" + o) for o, v in sums.items()])
+    w_off = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select(key, "_pid", *[F.coalesce(F.sum("_p_" + o).over(w_off), F.lit(0)).alias("_o_" + o)
+                                      for o in sums])
+    w_in = Window.partitionBy(key, "_pid").orderBy("_mono").rowsBetween(Window.unboundedPreceding, 0)
+    out = s.join(part, [key, "_pid"])
     for o, v in sums.items():
         out = out.withColumn(o, F.col("_o_" + o) + F.sum(v).over(w_in))
-    return out.drop("_chunk", *["_o_" + o for o in sums])
+    return out.drop("_pid", "_mono", *["_o_" + o for o in sums])
 
 
 def running_sum(df: DataFrame, key: str, ts: str, tie: str, value: str, out: str,
-                descending: bool = False, width: int = CHUNK_SECONDS) -> DataFrame:
+                descending: bool = False, partitions: int | None = None) -> DataFrame:
     """``out`` = sum of ``value`` over the rows of the same ``key`` up to and
     including this row in (ts, tie) order (or descending order)."""
-    return running_sums(df, key, ts, tie, {out: value}, descending, width)
+    return running_sums(df, key, ts, tie, {out: value}, descending, partitions)
 
 
 def row_number(df: DataFrame, key: str, ts: str, tie: str, out: str,
-               descending: bool = False, width: int = CHUNK_SECONDS) -> DataFrame:
+               descending: bool = False, partitions: int | None = None) -> DataFrame:
     """Position (1-based) of each row in its key's (ts, tie) order: a running
-    count with the same chunked plan."""
+    count with the same range-partitioned plan."""
     one = "_one"
-    r = running_sum(df.withColumn(one, F.lit(1)), key, ts, tie, one, out, descending, width)
+    r = running_sum(df.withColumn(one, F.lit(1)), key, ts, tie, one, out, descending, partitions)
     return r.withColumn(out, F.col(out).cast("int")).drop(one)
 
 
@@ -69,7 +65,9 @@ def _ranged(df: DataFrame, order: list, partitions: int | None) -> DataFrame:
     the partition id and a per-partition increasing id fixed by a reliable
     checkpoint (so the two passes below see the same layout)."""
     from ..session import cut_lineage
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    n = partitions or max(spark.sparkContext.defaultParallelism,
+                          int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     s = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mono", F.monotonically_increasing_id()))
