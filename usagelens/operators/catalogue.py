@@ -61,8 +61,8 @@ def catalogue(study) -> DataFrame:
         _one(usage.unique_usages(u), "kProjectUniqueBuiltins", F.call_function("div", F.count("*"), F.lit(1000))),
         _one(u, "nrProjectsWithBuiltins", F.countDistinct("project_id")),
         _one(u, "percentageProjectsWithBuiltins",
-             F.round(F.countDistinct("project_id") * 100.0 / F.lit(n_projects), 6), True),
-        _one(u, "percentageFilteredBuiltins", F.round(F.count("*") * 100.0 / F.lit(n_raw), 6), True),
+             F.round(F.try_divide(F.countDistinct("project_id") * 100.0, F.lit(n_projects)), 6), True),
+        _one(u, "percentageFilteredBuiltins", F.round(F.try_divide(F.count("*") * 100.0, F.lit(n_raw)), 6), True),
         _one(raw, "kBuiltinsUnfiltered", F.call_function("div", F.count("*"), F.lit(1000))),
         _one(study.fragments.where(F.col("category") == exclude.MANUAL), "nrBlacklist", F.count("*")),
         _one(exclude.rare_undocumented(u, terms), "builtinsWithLessThanTwoOccurrences", F.sum("nr_rare")),
@@ -77,7 +77,7 @@ def catalogue(study) -> DataFrame:
         _one(u.where(ms), "nrProjectsWithMachineSpecificBuiltins", F.countDistinct("project_id")),
         _one(used.where(doc), "numberDefBuiltinsUsed", F.count_if(is_used)),
         _one(used.where(doc), "numberDefBuiltinsNotUsed", F.count_if(~is_used)),
-        _one(used.where(doc), "percentageDefBuiltinsUsed", F.round(F.count_if(is_used) * 100.0 / F.count("*"), 6),
+        _one(used.where(doc), "percentageDefBuiltinsUsed", F.round(F.try_divide(F.count_if(is_used) * 100.0, F.count("*")), 6),
              True),
         _one(used.where(doc & ms), "nrMachineSpecificBuiltinsUnused", F.count_if(~is_used)),
         _one(used.where(doc & ~ms), "nrMachineIndependentBuiltinsUnused", F.count_if(~is_used)),

@@ -91,7 +91,7 @@ def coverage_score(universe: DataFrame, sample: DataFrame, dims: dict,
     """Covered universe rows / all universe rows (one row)."""
     n = universe.agg(F.count("*")).scalar()
     c = covered(universe, sample, dims, key).agg(F.count("*").alias("covered"))
-    return c.select("covered", n.alias("universe"), F.round(F.col("covered") / n, 6).alias("score"))
+    return c.select("covered", n.alias("universe"), F.round(F.try_divide(F.col("covered"), n), 6).alias("score"))
 
 
 def coverage_by_dimension(universe: DataFrame, sample: DataFrame, dims: dict,

@@ -233,7 +233,7 @@ def exclusion_shares(usages_raw: DataFrame, fragments: DataFrame, projects: Data
     aggs = [F.count("*").alias("nr_raw")]
     for r in ["project", "term", "vendored", "comment", "quotes", "manual", "kept"]:
         aggs.append(F.count_if(F.col("reason") == r).alias(f"nr_{r}"))
-        aggs.append(F.round(F.count_if(F.col("reason") == r) * 100.0 / total, 6).alias(f"pct_{r}"))
+        aggs.append(F.round(F.try_divide(F.count_if(F.col("reason") == r) * 100.0, total), 6).alias(f"pct_{r}"))
     return u.agg(*aggs)
 
 

@@ -39,7 +39,7 @@ def rater_agreement(ratings: DataFrame, n_users: int = 3) -> DataFrame:
     c = rating_counts(ratings).where(F.col("nr_users") == n_users)
     total = c.agg(F.count("*")).scalar()
     g = c.groupBy("nr_labels").agg(F.count("*").alias("items"))
-    return g.select("nr_labels", "items", F.round(F.col("items") * 100.0 / total, 6).alias("pct"))
+    return g.select("nr_labels", "items", F.round(F.try_divide(F.col("items") * 100.0, total), 6).alias("pct"))
 
 
 def resolve_ratings(ratings: DataFrame, resolver: str = RESOLVER) -> DataFrame:
@@ -112,13 +112,13 @@ def decision_summary(ratings: DataFrame, n_checked: DataFrame, families: dict =
     tot = final.agg(F.count("*")).scalar()
     checked = n_checked.select("n").scalar()
     dec = final.groupBy(F.col("final_label").alias("decision")).agg(F.count("*").alias("count")) \
-        .select("decision", "count", (F.col("count") * 100.0 / tot).alias("pct"))
+        .select("decision", "count", F.try_divide(F.col("count") * 100.0, tot).alias("pct"))
     auto = ratings.where(F.col("user") == automatic).groupBy(F.col("label").alias("decision")) \
         .agg(F.count("*").alias("count")) \
-        .select("decision", "count", (F.col("count") * 100.0 / checked).alias("pct"))
+        .select("decision", "count", F.try_divide(F.col("count") * 100.0, checked).alias("pct"))
     mass = ratings.where(F.col("user") == mass_rater).agg(F.count("*").alias("count")) \
         .select(F.lit("not automatic").alias("decision"), "count",
-                (F.col("count") * 100.0 / checked).alias("pct"))
+                F.try_divide(F.col("count") * 100.0, checked).alias("pct"))
     fam = dec.withColumn("family", family_of(F.col("decision"), families)).where(F.col("family").isNotNull()) \
         .groupBy(F.col("family").alias("decision")).agg(F.sum("count").alias("count"), F.sum("pct").alias("pct"))
     out = dec.unionByName(auto).unionByName(mass).unionByName(fam.select("decision", "count", "pct")).distinct()

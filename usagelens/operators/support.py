@@ -78,7 +78,7 @@ def support_by_frequency(needs: DataFrame, assume_libc: bool = False,
     return (curve
             .select(F.col("step").alias("nr_terms"), "name",
                     (F.col("supported") + base).alias("supported"),
-                    F.round((F.col("supported") + base) * 100.0 / total, 6)
+                    F.round(F.try_divide((F.col("supported") + base) * 100.0, total), 6)
                     .alias("pct_projects"),
                     F.lit(MOST_FREQUENT).alias("decision")))
 

@@ -79,7 +79,7 @@ def category_usage_table(terms: DataFrame, counts: DataFrame,
     out = t.groupBy("category", "header").agg(F.count("name").alias("nr_terms"))
     out = out.join(unfound, "category", "left")
     pct = F.when(F.col("unfound").isNull(), F.lit(100.0)) \
-        .otherwise(100.0 - F.col("unfound") * 100.0 / F.col("nr_terms"))
+        .otherwise(100.0 - F.try_divide(F.col("unfound") * 100.0, F.col("nr_terms")))
     return out.select("category", "header", "nr_terms", F.round(pct, 6).alias("pct_used"))
 
 
@@ -93,7 +93,7 @@ def unused_by_category(terms: DataFrame, counts: DataFrame) -> DataFrame:
         F.count_if(unused).alias("nr_unused"), F.count("*").alias("nr_terms"),
         F.array_sort(F.collect_list(F.when(unused, F.col("name")))).alias("_names"))
     return agg.where("nr_unused > 0").select(
-        "category", "nr_unused", F.round(F.col("nr_unused") * 100.0 / F.col("nr_terms"), 6)
+        "category", "nr_unused", F.round(F.try_divide(F.col("nr_unused") * 100.0, F.col("nr_terms")), 6)
         .alias("pct_unused"), natural_join("_names").alias("unused_names"))
 
 
@@ -106,7 +106,7 @@ def top_terms(usages: DataFrame, synonyms: DataFrame, k: int = 10) -> DataFrame:
     total = project_total(usages).scalar()
     return (top.join(syn, "term_name", "left")
             .select("term_id", "term_name", "category", "synonym", "projects",
-                    F.round(F.col("projects") * 100.0 / total, 6).alias("pct_projects")))
+                    F.round(F.try_divide(F.col("projects") * 100.0, total), 6).alias("pct_projects")))
 
 
 def synonym_breakdown(usages: DataFrame, synonyms: DataFrame) -> DataFrame:
