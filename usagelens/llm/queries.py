@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import quality_rules as quality
-from . import url_filter
+from . import secret_scan, url_filter
 from .common import read_table
 
 QUERIES: dict = {}
@@ -29,6 +29,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text of ``documents``."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    names, out = secret_scan.kinds(), secret_scan.scan_secrets(docs)
+    counts = [secret_scan.count_kind("base_spans", k).alias(f"n_{n}")
+              for k, n in enumerate(names[:len(secret_scan.BASE)])]
+    return out.select(
+        "doc_id", *counts,
+        F.sha2(secret_scan.spans_text(F.col("base_spans"), names), 256).alias("base_sha256"),
+        secret_scan.spans_text(F.col("spans"), names).alias("spans"))
+
+
 # Fixed rules of the task (action, host, path).
 URL_RULES = [
     url_filter.Rule("allow", "com", "/"),
