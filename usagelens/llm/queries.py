@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import quality_rules as quality
-from . import secret_scan, url_filter
+from . import byte_bpe, secret_scan, token_output, url_filter
 from .common import read_table
 
 QUERIES: dict = {}
@@ -42,6 +42,21 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.spans_text(F.col("spans"), names).alias("spans"))
 
 
+@query
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text of ``documents``, written as one ordered
+    binary stream and read back."""
+    stream = token_output.write_stream(read_table(spark, sf_dir, "documents"))
+    return token_output.document_digests(stream)
+
+
+@query
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every whole text of ``documents``, decoded again."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_bpe.id_digests(byte_bpe.encode_texts(docs).select("doc_id", "ids"))
+
+
 # Fixed rules of the task (action, host, path).
 URL_RULES = [
     url_filter.Rule("allow", "com", "/"),
