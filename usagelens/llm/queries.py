@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import quality_rules as quality
-from . import byte_bpe, secret_scan, token_output, url_filter
+from . import byte_bpe, decontaminate, secret_scan, token_output, url_filter
 from .common import read_table
 
 QUERIES: dict = {}
@@ -42,6 +42,18 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.spans_text(F.col("spans"), names).alias("spans"))
 
 
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of ``benchmark`` items in every whole text of ``documents``;
+    ``near_items`` adds matches with each word up to two places off."""
+    found = decontaminate.find_contamination(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), slop=2)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        decontaminate.items_digest(F.col("items")).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"),
+                        F.size("near_items").cast("long").alias("n_near_items"))
+
+
 @query
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole text of ``documents``, written as one ordered
