@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import quality_rules as quality
-from . import byte_bpe, decontaminate, secret_scan, token_output, url_filter
+from . import byte_bpe, decontaminate, near_dedup, secret_scan, token_output, url_filter
 from .common import read_table
 
 QUERIES: dict = {}
@@ -62,6 +62,12 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.document_digests(stream)
 
 
+@query
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components over every whole text of ``documents``."""
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every whole text of ``documents``, decoded again."""
