@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import quality_rules as quality
-from . import byte_bpe, decontaminate, near_dedup, secret_scan, token_output, url_filter
+from . import byte_bpe, decontaminate, near_dedup, secret_scan, substring_dedup, token_output, url_filter
 from .common import read_table
 
 QUERIES: dict = {}
@@ -75,6 +75,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.id_digests(byte_bpe.encode_texts(docs).select("doc_id", "ids"))
 
 
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words that a smaller document of ``documents`` holds."""
+    out = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 # Fixed rules of the task (action, host, path).
 URL_RULES = [
     url_filter.Rule("allow", "com", "/"),
