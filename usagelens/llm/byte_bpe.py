@@ -145,22 +145,25 @@ def encode_texts(df: DataFrame, text: str = "text", vocabulary: str = RANKS) ->
 
 
 def id_digests(df: DataFrame, vocabulary: str = RANKS) -> DataFrame:
-    """From rows with ``doc_id`` and ``ids``: n_tokens, ids_sha256 (decimal
-    ids joined by commas) and decoded_sha256 (bytes that the ids decode to)."""
+    """Adds to rows with ``ids``: n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 (bytes that the ids
+    decode to). Input columns with these names are replaced."""
+    added = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    kept = [c for c in df.columns if c not in added]
+    schema = T.StructType([df.schema[c] for c in kept]).add("n_tokens", T.LongType()) \
+        .add("ids_sha256", T.StringType()).add("decoded_sha256", T.StringType())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = shared_bpe(public_tokenizers.path(vocabulary))
         names = list(map(str, range(len(bpe.pieces))))
         for batch in batches:
             n, of_ids, of_bytes = [], [], []
             for raw in batch.column("ids"):
-                ids = np.frombuffer(raw.as_py(), "<u4")
+                ids = np.frombuffer(raw.as_buffer(), "<u4")
                 n.append(len(ids))
                 of_ids.append(sha256(",".join(map(names.__getitem__, ids.tolist())).encode()).hexdigest())
                 of_bytes.append(sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()),
-                 pa.array(of_bytes, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                [*[batch.column(c) for c in kept], pa.array(n, pa.int64()), pa.array(of_ids, pa.string()),
+                 pa.array(of_bytes, pa.string())], [*kept, *added])
 
-    return df.select("doc_id", "ids").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.mapInArrow(run, schema)

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import (byte_bpe, decontaminate, language_id, near_dedup, quality_classifier,
+               secret_scan, substring_dedup, token_output, url_filter)
 from . import quality_rules as quality
-from . import byte_bpe, decontaminate, near_dedup, secret_scan, substring_dedup, token_output, url_filter
-from .common import read_table
+from .common import read_table, to_shared
 
 QUERIES: dict = {}
 
@@ -72,7 +73,7 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every whole text of ``documents``, decoded again."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return byte_bpe.id_digests(byte_bpe.encode_texts(docs).select("doc_id", "ids"))
+    return byte_bpe.id_digests(byte_bpe.encode_texts(docs).select("doc_id", "ids")).drop("ids")
 
 
 @query
@@ -82,6 +83,24 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text of ``documents``, learned from the
+    documents that are not held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = language_id.train(docs.select("doc_id", "text", "lang"))
+    return language_id.identify(docs.select("doc_id", "text"), model)
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text of ``documents``; a document's source is
+    its host and its lang the section beneath, as the table has no url."""
+    return quality_classifier.quality_scores(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"),
+        keep_evidence=lambda df: to_shared(df, "quality-evidence"))
+
+
 # Fixed rules of the task (action, host, path).
 URL_RULES = [
     url_filter.Rule("allow", "com", "/"),
