@@ -26,10 +26,21 @@ from usagelens.llm.common import read_table, to_shared
 ORACLE_SQL = None
 
 
+def _set_aside(docs: DataFrame) -> DataFrame:
+    """``text`` beside all columns under names that no operator uses."""
+    return docs.select("text", *[F.col(c).alias(f"doc.{c}") for c in docs.columns])
+
+
+def _original(columns: list[str]) -> list:
+    return [F.col(f"`doc.{c}`").alias(c) for c in columns]
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base and threshold rules (operator 1)."""
-    rows = docs.where("doc_id IS NOT NULL").select(F.struct(*docs.columns).alias("row"), "text")
-    return quality_rules.quality_rules(rows).where("kept").select("row.*")
+    judged = quality_rules.quality_rules(_set_aside(docs.where("doc_id IS NOT NULL")))
+    # written before the filter: pushed down, it would hold the rules' whole expressions again
+    judged = to_shared(judged.select(*_original(docs.columns), F.col("kept").alias("doc.kept")), "quality-verdicts")
+    return judged.where("`doc.kept`").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,13 +65,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, found secrets masked and n_chars counted anew (operator 2)."""
-    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
-    clean = secret_scan.redact(secret_scan.scan_secrets(rows))
-    columns = {c: F.col("row")[c] for c in docs.columns if c != "text"} | {"text": F.col("text")}
+    clean = secret_scan.redact(secret_scan.scan_secrets(_set_aside(docs)))
+    columns = dict(zip(docs.columns, _original(docs.columns))) | {"text": F.col("text")}
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)) \
-            .otherwise(columns["n_chars"])
-    return clean.select(*[columns[c].alias(c) for c in docs.columns])
+        columns["n_chars"] = F.when(F.size("spans") > 0, F.length("text")).otherwise(columns["n_chars"]) \
+            .cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return clean.select(*columns.values())
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
