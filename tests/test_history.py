@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from usagelens.operators import history as H
@@ -8,15 +10,25 @@ from usagelens.operators import windows
 
 def test_diff_deltas_micro(spark):
     terms = spark.createDataFrame([(1, "__builtin_clz")], "id long, name string")
+    head = "--- a/a.c\n+++ b/__builtin_clz.c\n@@ -1 +1 @@\n"
     diffs = spark.createDataFrame([
-        (1, "c1", "ADD", "a.c", "a.c", "--- a/a.c\n+++ b/__builtin_clz.c\nx = __builtin_clz(1);\ny = 2;"),
-        (1, "c2", "MODIFY", "a.c", "a.c", "--- a/a.c\n+++ b/a.c\n-__builtin_clz(1)\n+__builtin_clz(2)\n __builtin_clz(3)"),
-        (1, "c3", "DELETE", "a.c", "a.c", "--- a/a.c\n+++ b/a.c\n__builtin_clz(1)"),
-        (1, "c4", "ADD", "a.cpp", "a.cpp", "__builtin_clz(1)"),
+        (1, "c1", "ADD", "a.c", "a.c", head + "+x = __builtin_clz(1);\n+y = 2;"),
+        (1, "c2", "MODIFY", "a.c", "a.c", head + "-__builtin_clz(1)\n+__builtin_clz(2)\n __builtin_clz(3)"),
+        (1, "c3", "DELETE", "a.c", "a.c", head + "-__builtin_clz(1)"),
+        (1, "c4", "ADD", "a.cpp", "a.cpp", head + "+__builtin_clz(1)"),
+        (1, "c5", "MODIFY", "a.c", "a.C", head + "--- __builtin_clz;\n+++ __builtin_clz;\n@@ -9 +9 @@\n+__builtin_clz"),
+        (1, "c6", "MODIFY", "a.c", "a.cpp", head + "+__builtin_clz"),
     ], "project_id long, hash string, change_type string, old_path string, new_path string, diff string")
     got = sorted((r.hash, r.event, r.delta) for r in H.diff_deltas(diffs, terms).collect())
     assert got == [("c1", "add-file", 1), ("c2", "modify-add", 1), ("c2", "modify-delete", -1),
-                   ("c3", "delete-file", -1)]
+                   ("c3", "delete-file", -1), ("c5", "modify-add", 1), ("c5", "modify-add", 1),
+                   ("c5", "modify-delete", -1)]
+
+
+def test_first_parent_cycle_is_an_error(spark):
+    commits = spark.createDataFrame([(1, "a", "b"), (1, "b", "a")], "project_id long, hash string, parent string")
+    with pytest.raises(ValueError):
+        H.first_parent_chain(commits, commits.select("project_id", "hash").limit(1))
 
 
 def test_snapshot_equals_diff_sum(spark):

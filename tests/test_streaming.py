@@ -35,6 +35,30 @@ def test_history_incremental_idempotent(spark, tmpdir_path):
     incremental.history_incremental(spark, src, "project_id long, hash string, delta int", lambda d: d, sink, ckpt)
     got = sorted((r.project_id, r.hash, r.net) for r in spark.read.parquet(sink).collect())
     assert got == [(1, "h1", 1), (2, "h2", 3)]
+    # later batches bring the same project, and even the same commit
+    more = spark.createDataFrame([(1, "h1", 5), (1, "h3", 4)], "project_id long, hash string, delta int")
+    more.write.mode("append").parquet(src)
+    for _ in range(2):
+        incremental.history_incremental(spark, src, "project_id long, hash string, delta int", lambda d: d, sink, ckpt)
+    got = sorted((r.project_id, r.hash, r.net) for r in incremental.read_history(spark, sink).collect())
+    assert got == [(1, "h1", 6), (1, "h3", 4), (2, "h2", 3)]
+
+
+def test_scan_incremental_keeps_unknown_names(spark, tmpdir_path):
+    src, sink, ckpt = (os.path.join(tmpdir_path, d) for d in ("src", "sink", "ckpt"))
+    spark.createDataFrame([(1, "a.c", "foo xbar")], SCHEMA).write.parquet(src)
+    known = spark.createDataFrame([(1, "foo")], "id long, name string")
+    incremental.scan_incremental(spark, src, SCHEMA, lambda d: d, known, sink, ckpt, unknown_pattern="^x[a-z]")
+    full = spark.createDataFrame([(1, "foo"), (2, "xbar")], "id long, name string")
+    got = sorted((r.term, r.term_id) for r in incremental.read_usages(spark, sink, full).collect())
+    assert got == [("foo", 1), ("xbar", 2)]
+
+
+def test_literal_prefix():
+    assert scan.literal_prefix("^__builtin_[a-z]") == "__builtin_"
+    assert scan.literal_prefix("^foo|^bar") is None
+    assert scan.literal_prefix("^ab*c") == "a"
+    assert scan.literal_prefix("foo") is None
 
 
 def test_sinks(spark, tmpdir_path):

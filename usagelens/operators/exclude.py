@@ -129,7 +129,7 @@ def _fragment_side(fragments: DataFrame, by_term: bool, extra: list[str] | None
     for c in extra or []:
         cols.append(F.col(c))
     side = fragments.select(*cols).dropDuplicates(["f_hash", "f_line"] + (["f_term"] if by_term else []))
-    return broadcast_checked(side, FRAGMENT_BROADCAST_ROWS)
+    return side
 
 
 def sync_manual(usages: DataFrame, auto: DataFrame) -> DataFrame:
@@ -147,8 +147,8 @@ def sync_manual(usages: DataFrame, auto: DataFrame) -> DataFrame:
     """
     flagged = usages.where(F.col("excluded")).groupBy("line", "term_id") \
         .agg(F.bool_or(~F.col("vendored")).alias("_live"))
-    auto_pairs = broadcast_checked(auto.select("line", "term_id").distinct(), FRAGMENT_BROADCAST_ROWS)
-    auto_lines = broadcast_checked(auto.select("line").distinct(), FRAGMENT_BROADCAST_ROWS)
+    auto_pairs = auto.select("line", "term_id").distinct()
+    auto_lines = auto.select("line").distinct()
     manual = (anti(flagged, auto_pairs, ["line", "term_id"]).join(auto_lines, "line", "left_anti")
               .withColumn("category", F.lit(MANUAL)))
     sure = manual.where(F.col("_live")).drop("_live")

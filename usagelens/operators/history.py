@@ -23,36 +23,38 @@ AUTOMATIC = "automatic"
 # Change types of a file diff and the event names of a delta
 ADD, MODIFY, DELETE = "ADD", "MODIFY", "DELETE"
 EVENTS = {"add": "add-file", "plus": "modify-add", "minus": "modify-delete", "delete": "delete-file"}
-SOURCE_SUFFIX = r"\.[ch]$"
+SOURCE_SUFFIX = r"(?i)\.[ch]$"
 
 
 # ------------------------------------------------------------------ H1 / H2
 def diff_deltas(diffs: DataFrame, terms: DataFrame) -> DataFrame:
     """H1: signed term occurrences from unified-diff text per (commit, file).
 
-    ADD: every line counts +1; DELETE: every line -1; MODIFY: lines starting
-    with ``+`` count +1, with ``-`` count -1, context lines nothing. File
-    header lines (``+++ ``, ``--- ``, ``@@``) are not counted. Only ``.c`` /
-    ``.h`` paths; the path is the new path for ADD and modify-delete rows,
+    Behind the first hunk header (``@@``), lines starting with ``+`` count +1
+    and lines starting with ``-`` count -1, without that marker; context lines
+    count nothing. Everything before the first hunk is file header, whatever
+    it starts with, so a changed line such as ``--- foo;`` counts. Only C
+    sources and headers, in either case: by the new path, for DELETE by the
+    old one. The stored path is the new path for ADD and modify-delete rows,
     the old path for modify-add and DELETE rows (as the study stored them);
     line numbers are 0-based positions in the diff text.
     """
-    d = diffs.select("project_id", "hash", "change_type", "old_path", "new_path",
-                     F.posexplode(F.split("diff", "\n")).alias("line_nr", "raw"))
-    header = d.raw.startswith("+++ ") | d.raw.startswith("--- ") | d.raw.startswith("@@")
+    raws = F.split("diff", "\n")
+    first_hunk = F.array_position(F.transform(raws, lambda l: l.startswith("@@")), F.lit(True))  # 1-based, 0: none
+    source = F.when(F.col("change_type") == DELETE, F.col("old_path")).otherwise(F.col("new_path"))
+    d = diffs.where(source.rlike(SOURCE_SUFFIX)).select(
+        "project_id", "hash", "change_type", "old_path", "new_path", first_hunk.alias("first_hunk"),
+        F.posexplode(raws).alias("line_nr", "raw"))
     ct = F.col("change_type")
-    sign = (F.when(ct == ADD, 1).when(ct == DELETE, -1)
-            .when((ct == MODIFY) & F.col("raw").startswith("+"), 1)
-            .when((ct == MODIFY) & F.col("raw").startswith("-"), -1))
+    sign = F.when(F.col("raw").startswith("+"), 1).when(F.col("raw").startswith("-"), -1)
     event = (F.when(ct == ADD, EVENTS["add"]).when(ct == DELETE, EVENTS["delete"])
              .when(sign > 0, EVENTS["plus"]).otherwise(EVENTS["minus"]))
     path = F.when((ct == ADD) | ((ct == MODIFY) & (sign < 0)), F.col("new_path")).otherwise(F.col("old_path"))
-    text = F.when(ct == MODIFY, F.substring("raw", 2, 1 << 30)).otherwise(F.col("raw"))
-    lines = (d.where(~header).withColumn("delta", sign).where(F.col("delta").isNotNull())
+    lines = (d.where((F.col("first_hunk") > 0) & (F.col("line_nr") >= F.col("first_hunk")))
+             .withColumn("delta", sign).where(F.col("delta").isNotNull())
              .select("project_id", "hash", event.alias("event"), path.alias("path"),
-                     F.col("delta").cast("int").alias("delta"), text.alias("line"),
-                     F.col("line_nr").cast("int").alias("line_nr"))
-             .where(F.col("path").rlike(SOURCE_SUFFIX)))
+                     F.col("delta").cast("int").alias("delta"), F.substring("raw", 2, 1 << 30).alias("line"),
+                     F.col("line_nr").cast("int").alias("line_nr")))
     dim = broadcast_checked(terms.select(F.col("name").alias("token"), F.col("id").alias("term_id")))
     return (lines.select("*", F.explode(identifiers("line")).alias("token"))
             .join(dim, "token").drop("token"))
@@ -86,7 +88,10 @@ def first_parent_chain(commits: DataFrame, heads: DataFrame) -> DataFrame:
                        ["project_id", "parent"], "left_semi")
     # level 0: one step
     jumps = [cut_lineage(edges.select("project_id", "hash", F.col("parent").alias("anc")))]
+    longest = jumps[0].count()
     while True:
+        if (1 << (len(jumps) - 1)) > longest:  # no chain has that many steps
+            raise ValueError("the parent links of some commit form a cycle")
         j = jumps[-1]
         nxt = (j.alias("a").join(j.alias("b"), (F.col("a.project_id") == F.col("b.project_id"))
                                  & (F.col("a.anc") == F.col("b.hash")))

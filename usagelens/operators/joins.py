@@ -5,28 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A dimension is broadcast only when its row count was checked to be at most
-# this many rows; beyond it the join falls back to a shuffle join.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def broadcast_checked(dim: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Return ``broadcast(dim)`` if ``dim`` has at most ``max_rows`` rows,
-    else ``dim`` unchanged (sort-merge / shuffle-hash join, AQE decides).
-
-    The check runs a count limited to ``max_rows + 1`` rows, so it never
-    scans more than the bound of a large table's first partitions.
-    """
-    key = (dim.semanticHash(), max_rows)
-    small = _CHECKED.get(key)
-    if small is None:
-        small = dim.limit(max_rows + 1).count() <= max_rows
-        _CHECKED[key] = small
-    return F.broadcast(dim) if small else dim
-
-
-# results of size checks, by the semantic hash of the checked plan
-_CHECKED: dict = {}
+# A dimension is broadcast only if the optimizer's size of its plan, in bytes,
+# is at most this; beyond it the hint is left out and Spark chooses the join
+# (adaptive execution still broadcasts a side that turns out to be small).
+BROADCAST_MAX_BYTES = 64 << 20
+
+
+def broadcast_checked(dim: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """``broadcast(dim)`` if its planned size is at most ``max_bytes``, else
+    ``dim`` unchanged. Reads the plan's statistics only: no job is run and no
+    verdict is kept."""
+    size = dim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(dim) if size <= max_bytes else dim
 
 
 def semi(df: DataFrame, other: DataFrame, on) -> DataFrame:

@@ -62,10 +62,17 @@ def resolve_term_ids(usages: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def literal_prefix(pattern: str) -> str | None:
-    """The literal identifier characters an anchored pattern starts with
-    (``^__builtin_[a-z]`` -> ``__builtin_``), or None."""
+    """The literal identifier characters that every match of an anchored
+    pattern starts with (``^__builtin_[a-z]`` -> ``__builtin_``), or None. An
+    alternative anywhere gives none, and a character that a quantifier may
+    make optional is not part of the prefix (``^ab*c`` -> ``a``)."""
     m = re.match(r"\^([A-Za-z0-9_]+)", pattern)
-    return m.group(1) if m else None
+    if not m or "|" in pattern:
+        return None
+    prefix = m.group(1)
+    if pattern[m.end():m.end() + 1] in ("?", "*", "{"):
+        prefix = prefix[:-1]
+    return prefix or None
 
 
 def discover_terms(lines: DataFrame, terms: DataFrame, pattern: str = UNKNOWN_PATTERN) -> DataFrame:

@@ -61,7 +61,7 @@ def usage_inputs(spark: SparkSession, sf_dir: str) -> UsageInputs:
     docs = read(spark, sf_dir, "documents")
     lang_dir = F.when(F.col("lang") == "de", F.lit("gcc-de")).otherwise(F.col("lang"))
     files = files_of(docs)
-    makefiles = docs.where(F.col("lang") == "es").select(
+    makefiles = docs.select(
         _project_id().alias("project_id"),
         F.concat_ws("/", "source", F.col("doc_id").cast("string"), F.lit("Makefile")).alias("path"),
         F.col("text").alias("content"))
@@ -94,17 +94,16 @@ def usage_inputs(spark: SparkSession, sf_dir: str) -> UsageInputs:
 def file_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H1 input: one unified diff per document. doc_id % 3 = 0 is an added
     file, 1 a deleted file, 2 a modified file whose odd lines are additions
-    and even lines deletions; each diff starts with the two file headers."""
+    and even lines deletions; each diff is one hunk behind its file headers."""
     docs = read(spark, sf_dir, "documents")
     kind = F.when(F.col("doc_id") % 3 == 0, "ADD").when(F.col("doc_id") % 3 == 1, "DELETE") \
         .otherwise("MODIFY")
     path = F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".c")))
     old_path = F.when(F.col("doc_id") % 10 == 4, F.regexp_replace(path, r"\.c$", ".cpp")).otherwise(path)
     lines = F.split("text", "\n")
-    marked = F.array_join(F.transform(lines, lambda l, i: F.concat(
-        F.when(i % 2 == 0, F.lit("+")).otherwise(F.lit("-")), l)), "\n")
-    body = F.when(kind == "MODIFY", marked).otherwise(F.col("text"))
-    header = F.concat(F.lit("--- a/"), old_path, F.lit("\n+++ b/"), path, F.lit("\n"))
+    body = F.array_join(F.transform(lines, lambda l, i: F.concat(
+        F.when((kind == "ADD") | ((kind == "MODIFY") & (i % 2 == 0)), F.lit("+")).otherwise(F.lit("-")), l)), "\n")
+    header = F.concat(F.lit("--- a/"), old_path, F.lit("\n+++ b/"), path, F.lit("\n@@ -1 +1 @@\n"))
     return docs.select(_project_id().alias("project_id"), F.col("doc_id").cast("string").alias("hash"),
                        kind.alias("change_type"), old_path.alias("old_path"), path.alias("new_path"),
                        F.concat(header, body).alias("diff"))

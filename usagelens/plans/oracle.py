@@ -174,7 +174,7 @@ SELECT project_id, true AS has_makefile, bool_or(contains(line, 'token = ')) AS
        bool_or(contains(line, '@')) AS no_builtin
 FROM (SELECT CAST(regexp_extract(source, '[0-9]+', 0) AS BIGINT) AS project_id,
              unnest(regexp_split_to_array(text, '\r\n|\n|\r')) AS line
-      FROM documents WHERE lang = 'es')
+      FROM documents)
 GROUP BY project_id""", [])
 q("extract_names", """
 SELECT DISTINCT unnest(regexp_extract_all(html, '<[a-z][a-z0-9]*')) AS name FROM pages""", [])

@@ -128,21 +128,18 @@ SELECT CAST(regexp_extract(source, '[0-9]+', 0) AS BIGINT) AS project_id, CAST(d
        CASE WHEN doc_id % 10 = 4 THEN source || '/' || CAST(doc_id AS VARCHAR) || '.cpp'
             ELSE source || '/' || CAST(doc_id AS VARCHAR) || '.c' END AS old_path,
        source || '/' || CAST(doc_id AS VARCHAR) || '.c' AS new_path,
-       CASE WHEN doc_id % 3 = 2
-            THEN array_to_string(list_transform(string_split(text, chr(10)),
-                   lambda l, i: CASE WHEN i % 2 = 1 THEN '+' ELSE '-' END || l), chr(10))
-            ELSE text END AS body
+       array_to_string(list_transform(string_split(text, chr(10)),
+         lambda l, i: CASE WHEN doc_id % 3 = 0 OR (doc_id % 3 = 2 AND i % 2 = 1) THEN '+' ELSE '-' END || l),
+         chr(10)) AS body
 FROM documents""")
 cte("diff_lines", """
 SELECT * FROM (
   SELECT project_id, hash, change_type, old_path, new_path, raw,
-         CASE WHEN change_type = 'ADD' THEN 1 WHEN change_type = 'DELETE' THEN -1
-              WHEN starts_with(raw, '+') THEN 1 WHEN starts_with(raw, '-') THEN -1 END AS delta
-  FROM (SELECT project_id, hash, change_type, old_path, new_path,
-               unnest(string_split('--- a/' || old_path || chr(10) || '+++ b/' || new_path || chr(10) || body,
-                                   chr(10))) AS raw
+         CASE WHEN starts_with(raw, '+') THEN 1 WHEN starts_with(raw, '-') THEN -1 END AS delta
+  FROM (SELECT project_id, hash, change_type, old_path, new_path, unnest(string_split(body, chr(10))) AS raw
         FROM diffs))
-WHERE delta IS NOT NULL AND NOT (starts_with(raw, '+++ ') OR starts_with(raw, '--- ') OR starts_with(raw, '@@'))""",
+WHERE delta IS NOT NULL
+  AND regexp_matches(CASE WHEN change_type = 'DELETE' THEN old_path ELSE new_path END, '(?i)\\.[ch]$')""",
     ["diffs"])
 q("diff_deltas", """
 WITH l AS (SELECT project_id,
@@ -150,10 +147,10 @@ WITH l AS (SELECT project_id,
                        WHEN delta > 0 THEN 'modify-add' ELSE 'modify-delete' END AS event,
                   CASE WHEN change_type = 'ADD' OR (change_type = 'MODIFY' AND delta < 0) THEN new_path
                        ELSE old_path END AS path,
-                  delta, CASE WHEN change_type = 'MODIFY' THEN substr(raw, 2) ELSE raw END AS line
+                  delta, substr(raw, 2) AS line
            FROM diff_lines),
      t AS (SELECT project_id, event, path, delta, unnest(regexp_extract_all(line, '[A-Za-z0-9_]+')) AS token
-           FROM l WHERE regexp_matches(path, '\\.[ch]$'))
+           FROM l)
 SELECT t.project_id, t.event, t.path, k.id AS term_id, CAST(sum(t.delta) AS BIGINT) AS delta,
        count(*) AS "rows"
 FROM t JOIN terms1 k ON k.name = t.token GROUP BY t.project_id, t.event, t.path, k.id""".replace("\\\\", "\\"),

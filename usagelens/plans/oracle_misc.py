@@ -42,11 +42,11 @@ SELECT user_id AS project_id, count_if(value <= 50) AS commits, count(DISTINCT e
              CAST(event_id AS VARCHAR) DESC) AS head_hash
 FROM events GROUP BY user_id""", [])
 q("append_if_absent", """
-SELECT p_partkey, p_name, p_type FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0""", [])
-q("flag_where", "SELECT p_partkey, p_partkey % 3 = 0 AS flag FROM part", [])
-q("delete_where", "SELECT p_partkey FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 <> 0", [])
-q("delete_where_not_in", "SELECT p_partkey FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 = 0", [])
-q("reject_known", "SELECT p_partkey, p_name FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 <> 0", [])
+SELECT p_partkey, p_name, p_type FROM part""", [])
+q("flag_where", "SELECT p_partkey, (p_partkey % 3 = 0 OR p_partkey % 2 = 1) AS flag FROM part", [])
+q("delete_where", "SELECT p_partkey FROM part WHERE p_partkey % 2 = 0 AND NOT (p_partkey % 3 = 0 OR p_partkey % 2 = 1)", [])
+q("delete_where_not_in", "SELECT p_partkey FROM part WHERE p_partkey % 2 = 0 AND (p_partkey % 3 = 0 OR p_partkey % 2 = 1)", [])
+q("reject_known", "SELECT p_partkey, p_name FROM part WHERE (p_partkey % 3 = 0 OR p_partkey % 2 = 1) AND p_partkey % 2 <> 0", [])
 q("find_duplicates", """
 SELECT l_orderkey, l_linenumber, count(*) AS count FROM lineitem
 GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""", [])

@@ -42,7 +42,7 @@ def q_vcs(spark, sf):
 def _lists(spark, sf):
     part = fx.read(spark, sf, "part").select("p_partkey", "p_name", "p_type")
     target = part.where(F.col("p_partkey") % 2 == 0)
-    new = part.where(F.col("p_partkey") % 3 == 0)
+    new = part.where((F.col("p_partkey") % 3 == 0) | (F.col("p_partkey") % 2 == 1))
     return part, target, new
 
 
@@ -131,8 +131,10 @@ def q_outcomes(spark, sf):
 
 @register("scan_incremental")
 def q_scan_incremental(spark, sf):
-    """The term scan over the documents table as a stream (availableNow),
-    appended to a Parquet sink; the sink's usages per (project, term)."""
+    """The term scan over the documents table as a stream of several files
+    (one per micro-batch), appended to a Parquet sink, then a second run that
+    finds nothing new. The dictionary lacks the unknown names at first; the
+    sink's usages per (project, term) have their ids from the full one."""
     s = study(spark, sf)
     docs_schema = fx.read(spark, sf, "documents").schema
     run = uuid.uuid4().hex[:12]
@@ -141,19 +143,28 @@ def q_scan_incremental(spark, sf):
     def to_files(docs):
         return fx.files_of(docs)
 
-    incremental.scan_incremental(spark, sf, docs_schema, to_files, s.terms, sink, ckpt, glob="documents.parquet")
-    return spark.read.parquet(sink).groupBy("project_id", "term_id").agg(F.count("*").alias("n"))
+    src = scratch_path(spark, f"n1-src-{run}")
+    fx.read(spark, sf, "documents").repartition(4).write.parquet(src)
+    for _ in range(2):
+        incremental.scan_incremental(spark, src, docs_schema, to_files, s.known_terms, sink, ckpt,
+                                     max_files_per_trigger=1, unknown_pattern=s.unknown_pattern)
+    return incremental.read_usages(spark, sink, s.terms).groupBy("project_id", "term_id") \
+        .agg(F.count("*").alias("n"))
 
 
 @register("history_incremental")
 def q_history_incremental(spark, sf):
-    """Commit nets from the events table as a stream, written per batch
-    with dynamic partition overwrite."""
+    """Commit nets from the events table as a stream of several files (one
+    per micro-batch, so projects and commits span batches), then a second run
+    that finds nothing new."""
     ev_schema = fx.read(spark, sf, "events").schema
     run = uuid.uuid4().hex[:12]
     sink, ckpt = scratch_path(spark, f"n2-sink-{run}"), scratch_path(spark, f"n2-ckpt-{run}")
-    incremental.history_incremental(spark, sf, ev_schema, fx.deltas_of, sink, ckpt, glob="events.parquet")
-    return spark.read.parquet(sink).select("project_id", "hash", "net")
+    src = scratch_path(spark, f"n2-src-{run}")
+    fx.read(spark, sf, "events").repartition(4).write.parquet(src)
+    for _ in range(2):
+        incremental.history_incremental(spark, src, ev_schema, fx.deltas_of, sink, ckpt, max_files_per_trigger=1)
+    return incremental.read_history(spark, sink)
 
 
 @register("metric_catalogue")

@@ -23,14 +23,14 @@ def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
     and makefile below ``root``; project = first directory below the root,
     path relative to the root (so it starts with the project directory).
 
-    The binary-file source prunes on the path before any content is read, so
-    other files cost a directory listing only.
+    The file listing only keeps the wanted names, so the content of other
+    files is never opened; a file that cannot be read fails the scan.
     """
     root = root.rstrip("/")
     raw = (spark.read.format("binaryFile")
            .option("recursiveFileLookup", "true")
            .option("ignoreMissingFiles", "true")
-           .option("ignoreCorruptFiles", "true")
+           .option("pathGlobFilter", "{*.[cChH],[mM][aA][kK][eE][fF][iI][lL][eE]}")
            .load(root))
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     keep = F.lit(False)

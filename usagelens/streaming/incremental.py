@@ -19,20 +19,22 @@ from ..sources.files import explode_lines
 
 def scan_incremental(spark: SparkSession, source_dir: str, schema, to_files: Callable[[DataFrame], DataFrame],
                      terms: DataFrame, sink: str, checkpoint: str, glob: str | None = None,
-                     max_files_per_trigger: int | None = None) -> None:
+                     max_files_per_trigger: int | None = None, unknown_pattern: str | None = None) -> None:
     """Scan only the files that arrived since the last run (the file
     source's checkpoint remembers them) and append their usages to a
-    Parquet sink. The scan is stateless (explode + broadcast join), so
-    each micro-batch is independent; ``availableNow`` processes everything
-    new and stops."""
+    Parquet sink. The scan is stateless (explode + join), so each micro-batch
+    is independent; ``availableNow`` processes everything new and stops.
+
+    Names that only match ``unknown_pattern`` are stored with a NULL id; see
+    ``read_usages``."""
     reader = spark.readStream.schema(schema).format("parquet")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     files = to_files(reader.load(source_dir))
-    usages = scan.scan_terms(explode_lines(files), terms, None) \
-        .select("project_id", "path", "line_nr", "term_id")
+    usages = scan.scan_terms(explode_lines(files), terms, unknown_pattern) \
+        .select("project_id", "path", "line_nr", "term", "term_id")
     q = (usages.writeStream.format("parquet").option("path", sink)
          .option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True).start())
@@ -42,10 +44,10 @@ def scan_incremental(spark: SparkSession, source_dir: str, schema, to_files: Cal
 def history_incremental(spark: SparkSession, source_dir: str, schema,
                         to_deltas: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str,
                         glob: str | None = None, max_files_per_trigger: int | None = None) -> None:
-    """Per micro-batch, the net change per commit of the new commit
-    records, written with dynamic partition overwrite of the batch's
-    projects. A failed batch leaves nothing behind, and re-running it (same
-    batch id after a restart) rewrites the same partitions."""
+    """Per micro-batch, the net change per commit of the new records, in a
+    folder of its own (``batch_id=``). A batch that is run again after a
+    failure overwrites its folder only, so no other batch loses or repeats
+    rows; ``read_history`` adds the batches up."""
     reader = spark.readStream.schema(schema).format("parquet")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -55,14 +57,25 @@ def history_incremental(spark: SparkSession, source_dir: str, schema,
 
     def write(batch: DataFrame, batch_id: int) -> None:
         net = batch.groupBy("project_id", "hash").agg(F.sum("delta").cast("long").alias("net"))
-        (net.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("project_id").parquet(sink))
+        net.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     q = (deltas.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def read_history(spark: SparkSession, sink: str) -> DataFrame:
+    """(project_id, hash, net) over all batches of ``history_incremental``;
+    a commit's records may have come in several batches."""
+    return spark.read.parquet(sink).groupBy("project_id", "hash").agg(F.sum("net").cast("long").alias("net"))
+
+
+def read_usages(spark: SparkSession, sink: str, terms: DataFrame) -> DataFrame:
+    """Usages of ``scan_incremental``; names that were unknown when they
+    were scanned get their id from the extended dictionary."""
+    return scan.resolve_term_ids(spark.read.parquet(sink), terms)
+
+
 def refresh_views(views: dict, order: list[str]) -> dict:
     """After ingestion, recompute the persisted views in dependency
     order (K3)."""
