@@ -208,6 +208,7 @@ def trend_features(net: DataFrame, projects: DataFrame) -> DataFrame:
           .withColumn("_one", F.lit(1)))
     # running total and position of each point in one chunked pass
     pos = windows.running_sums(nz, "project_id", "ts_unix", "hash", {"nr_terms": "net", "pos": "_one"})
+    pos = cut_lineage(pos)  # read three times below
     n = pos.groupBy("project_id").agg(F.count("*").alias("n"))
     p = pos.join(n, "project_id")
     tail = F.greatest(F.lit(1), F.floor(F.col("n") * 0.10).cast("long"))

@@ -28,9 +28,12 @@ _GOLDEN = 2654435761
 
 
 def rating_counts(ratings: DataFrame) -> DataFrame:
-    """Per item: number of distinct raters and of distinct labels."""
-    return ratings.groupBy("project_id").agg(F.countDistinct("user").alias("nr_users"),
-                                             F.countDistinct("label").alias("nr_labels"))
+    """Per item: number of distinct raters and of distinct labels. The sets
+    are small (raters and labels of one item), and one aggregate collects them
+    without expanding the rows per distinct count."""
+    return ratings.groupBy("project_id").agg(
+        F.size(F.collect_set("user")).cast("long").alias("nr_users"),
+        F.size(F.collect_set("label")).cast("long").alias("nr_labels"))
 
 
 def rater_agreement(ratings: DataFrame, n_users: int = 3) -> DataFrame:
@@ -47,8 +50,8 @@ def resolve_ratings(ratings: DataFrame, resolver: str = RESOLVER) -> DataFrame:
     label. The resolver's label overrides; otherwise an item whose raters
     agree (one distinct label) is resolved with that label."""
     g = ratings.groupBy("project_id").agg(
-        F.countDistinct("user").alias("nr_users"),
-        F.countDistinct("label").alias("nr_labels"),
+        F.size(F.collect_set("user")).cast("long").alias("nr_users"),
+        F.size(F.collect_set("label")).cast("long").alias("nr_labels"),
         F.array_join(F.array_sort(F.collect_set("label")), ";").alias("labels"),
         F.max(F.when(F.col("user") == resolver, F.col("label"))).alias("_res"),
         F.min("label").alias("_only"))

@@ -32,7 +32,8 @@ def append_if_absent(target: DataFrame, new: DataFrame, key) -> DataFrame:
 def upsert(target: DataFrame, new: DataFrame, key) -> DataFrame:
     """K5: INSERT OR REPLACE -- a row of ``new`` replaces the target row with
     the same key (the last writer wins; within ``new`` the row with the
-    largest optional ``_seq`` value -- any orderable type -- is the last)."""
+    largest optional ``_seq`` value -- any orderable type -- is the last; rows
+    of one ``_seq`` are ordered by their other columns)."""
     k = _keys(key)
     if "_seq" not in new.columns:
         new = new.withColumn("_seq", F.lit(0))
@@ -41,7 +42,9 @@ def upsert(target: DataFrame, new: DataFrame, key) -> DataFrame:
         .withColumn("_prio", F.lit(0))
     both = old.unionByName(new.select(*target.columns, "_seq").withColumn("_prio", F.lit(1)))
     # groups are one key each: at most the writers of one row
-    w = Window.partitionBy(*k).orderBy(F.col("_prio").desc(), F.col("_seq").desc_nulls_last())
+    w = Window.partitionBy(*k).orderBy(
+        F.col("_prio").desc(), F.col("_seq").desc_nulls_last(),
+        *[F.col(c).desc_nulls_last() for c in target.columns if c not in k])
     return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_seq", "_prio")
 
 

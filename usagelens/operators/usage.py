@@ -10,7 +10,7 @@ dimension-sized data (one row per term, category or project).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import median_row_id, quartiles, sorted_set, upper_median
@@ -203,22 +203,18 @@ def project_overview(projects: DataFrame) -> DataFrame:
     (median-by, A5; ties by id), in long form."""
     p = projects.select("id", "loc", "commits", "committers", "first_commit", "last_commit")
     mid = median_row_id(p, "loc", "id")
-    med = p.where(F.col("id") == F.lit(mid))
-    rows = []
-    for m in ["loc", "commits", "committers"]:
-        rows.append(p.agg(F.lit(m).alias("metric"), F.min(m).cast("double").alias("min_value"),
-                          F.max(m).cast("double").alias("max_value"),
-                          F.round(F.avg(m), 6).alias("avg_value"),
-                          med.select(F.col(m).cast("double")).scalar().alias("median_by_loc")))
-    for m in ["first_commit", "last_commit"]:
-        e = F.unix_timestamp(F.col(m).cast("timestamp")).cast("double")
-        rows.append(p.agg(F.lit(m).alias("metric"), F.min(e).alias("min_value"),
-                          F.max(e).alias("max_value"), F.lit(None).cast("double").alias("avg_value"),
-                          med.select(e).scalar().alias("median_by_loc")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    of_mid = F.col("id") == F.lit(mid)
+    seconds = {m: F.unix_timestamp(F.col(m).cast("timestamp")).cast("double") for m in ("first_commit", "last_commit")}
+
+    def line(metric: str, value: Column, avg: Column) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), F.min(value).cast("double").alias("min_value"),
+                        F.max(value).cast("double").alias("max_value"), avg.cast("double").alias("avg_value"),
+                        F.max(F.when(of_mid, value)).cast("double").alias("median_by_loc"))
+
+    lines = [line(m, F.col(m), F.round(F.avg(m), 6)) for m in ("loc", "commits", "committers")]
+    lines += [line(m, v, F.lit(None)) for m, v in seconds.items()]
+    # one aggregate of all values, then a row per metric
+    return p.agg(F.array(*lines).alias("lines")).select(F.inline("lines"))
 
 
 def work_queue(projects: DataFrame, n: int, done: str = "processed") -> DataFrame:

@@ -28,7 +28,7 @@ def register(name: str):
 def study(spark: SparkSession, sf_dir: str) -> UsageStudy:
     """One study per (session, data set): its materialised tables are shared
     by all usage queries, as the study's persisted views are."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STUDIES:
         configure(spark)
         inputs = fx.usage_inputs(spark, sf_dir)

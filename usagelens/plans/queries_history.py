@@ -13,10 +13,11 @@ from . import fixtures as fx
 from .queries import register, study
 
 _HIST: dict = {}
+_RATED: dict = {}
 
 
 def hist(spark, sf):
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _HIST:
         i = fx.history_inputs(spark, sf)
         # the per-commit view every history query starts from, materialised once
@@ -122,9 +123,13 @@ def q_snapshot(spark, sf):
 
 # ----------------------------------------------------------------- ratings
 def rated(spark, sf):
-    raw = fx.ratings(spark, sf)
-    empty = raw.select("project_id", "user", "label").limit(0)
-    return tables.upsert(empty, raw, ["project_id", "user"])
+    """The ratings after the upsert, materialised once per data set."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RATED:
+        raw = fx.ratings(spark, sf)
+        empty = raw.select("project_id", "user", "label").limit(0)
+        _RATED[key] = materialise(tables.upsert(empty, raw, ["project_id", "user"]), "rated")
+    return _RATED[key]
 
 
 @register("ratings_upsert")

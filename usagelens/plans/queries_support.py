@@ -16,7 +16,7 @@ _NEEDS: dict = {}
 def needs_table(spark, sf):
     """The (project, term) needs, materialised once per data set (every
     support query reads them several times)."""
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _NEEDS:
         _NEEDS[key] = materialise(fx.needs(spark, sf), "needs")
     return _NEEDS[key]
