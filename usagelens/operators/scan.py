@@ -95,23 +95,35 @@ def unknown_terms(usages: DataFrame) -> DataFrame:
 
 
 def count_pattern(lines: DataFrame, names: list[str] = ASM_NAMES,
-                  key: str = "project_id", out: str = "nr_asm") -> DataFrame:
+                  key: str = "project_id", out: str = "nr_asm", projects: DataFrame | None = None) -> DataFrame:
     """T4: per project, occurrences of any of ``names`` as a whole identifier
-    (partial aggregation per task, then one small shuffle)."""
+    (partial aggregation per task, then one small shuffle). With ``projects``
+    (column ``id``) every project has a row, 0 if nothing was found."""
     # a name list of a few entries: membership test on the token, no join
-    return tokens(lines).where(F.col("token").isin(*names)) \
+    found = tokens(lines).where(F.col("token").isin(*names)) \
         .groupBy(key).agg(F.count("*").alias(out))
+    return _for_all(projects, found, key, {out: F.lit(0).cast("long")})
+
+
+def _for_all(projects: DataFrame | None, found: DataFrame, key: str, missing: dict) -> DataFrame:
+    """A row per project; ``missing`` has the values of one without rows."""
+    if projects is None:
+        return found
+    out = projects.select(F.col("id").alias(key)).distinct().join(found, key, "left")
+    return out.select(key, *[F.coalesce(F.col(c), v).alias(c) for c, v in missing.items()])
 
 
 def config_flags(makefile_lines: DataFrame, key: str = "project_id",
                  freestanding: str = FREESTANDING_FLAG,
-                 no_builtin: str = NO_BUILTIN_FLAG) -> DataFrame:
+                 no_builtin: str = NO_BUILTIN_FLAG, projects: DataFrame | None = None) -> DataFrame:
     """T5: per project: has a makefile; some makefile line contains the
-    freestanding flag; some contains the no-builtin flag."""
-    return makefile_lines.groupBy(key).agg(
+    freestanding flag; some contains the no-builtin flag. With ``projects``
+    (column ``id``) a project without a makefile has a row of three falses."""
+    found = makefile_lines.groupBy(key).agg(
         F.lit(True).alias("has_makefile"),
         F.bool_or(F.col("line").contains(freestanding)).alias("freestanding"),
         F.bool_or(F.col("line").contains(no_builtin)).alias("no_builtin"))
+    return _for_all(projects, found, key, dict.fromkeys(("has_makefile", "freestanding", "no_builtin"), F.lit(False)))
 
 
 def extract_names(docs: DataFrame, text: str, pattern: str = DOC_NAME) -> DataFrame:

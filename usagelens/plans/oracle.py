@@ -167,7 +167,10 @@ q("scan_terms", "SELECT project_id, path, line_nr, term_id, excluded FROM usages
 q("discover_terms", "SELECT name FROM internal", ["internal"])
 q("unknown_terms", "SELECT id, name FROM terms WHERE category = 'Unknown'", ["terms"])
 q("count_pattern", """
-SELECT project_id, count(*) AS nr_asm FROM tokens WHERE token IN ('the') GROUP BY project_id""",
+SELECT p.project_id, count(t.token) AS nr_asm
+FROM (SELECT DISTINCT CAST(regexp_extract(source, '[0-9]+', 0) AS BIGINT) AS project_id FROM documents) p
+LEFT JOIN (SELECT project_id, token FROM tokens WHERE token IN ('the')) t USING (project_id)
+GROUP BY p.project_id""",
   ["tokens"])
 q("config_flags", """
 SELECT project_id, true AS has_makefile, bool_or(contains(line, 'token = ')) AS freestanding,

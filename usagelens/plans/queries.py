@@ -54,13 +54,15 @@ def q_unknown_terms(spark, sf):
 
 @register("count_pattern")
 def q_count_pattern(spark, sf):
-    return scan.count_pattern(study(spark, sf).lines, fx.FX_ASM_NAMES)
+    s = study(spark, sf)
+    return scan.count_pattern(s.lines, fx.FX_ASM_NAMES, projects=s.i.projects)
 
 
 @register("config_flags")
 def q_config_flags(spark, sf):
     mk = explode_lines(study(spark, sf).i.makefiles)
-    return scan.config_flags(mk, freestanding=fx.FX_FREESTANDING, no_builtin=fx.FX_NO_BUILTIN)
+    return scan.config_flags(mk, freestanding=fx.FX_FREESTANDING, no_builtin=fx.FX_NO_BUILTIN,
+                             projects=study(spark, sf).i.projects)
 
 
 @register("extract_names")
