@@ -28,19 +28,17 @@ ORACLE_SQL = None
 
 def _set_aside(docs: DataFrame) -> DataFrame:
     """``text`` beside all columns under names that no operator uses."""
-    return docs.select("text", *[F.col(c).alias(f"doc.{c}") for c in docs.columns])
+    return docs.select("text", *[F.col(f"`{c}`").alias(f"__doc_{c}") for c in docs.columns])
 
 
 def _original(columns: list[str]) -> list:
-    return [F.col(f"`doc.{c}`").alias(c) for c in columns]
+    return [F.col(f"`__doc_{c}`").alias(c) for c in columns]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base and threshold rules (operator 1)."""
-    judged = quality_rules.quality_rules(_set_aside(docs.where("doc_id IS NOT NULL")))
-    # written before the filter: pushed down, it would hold the rules' whole expressions again
-    judged = to_shared(judged.select(*_original(docs.columns), F.col("kept").alias("doc.kept")), "quality-verdicts")
-    return judged.where("`doc.kept`").select(*docs.columns)
+    rows = _set_aside(docs.where("doc_id IS NOT NULL"))
+    return quality_rules.quality_rules(rows).where("kept").select(*_original(docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from usagelens.session import scratch_path
 
@@ -37,6 +37,18 @@ def to_shared(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def smallest_hashes(ids: DataFrame, groups: list[str], n: int, key: str = "doc_id", salts: int = 64) -> DataFrame:
+    """The ``n`` rows of each group with the smallest hash of ``key``, and
+    their ``place`` from 1. Taken per salt first, so a group of any size meets
+    in one task with at most ``salts * n`` rows."""
+    order = [F.xxhash64(key), F.col(key)]
+    salted = ids.withColumn("__salt", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(salts)))
+    near = F.row_number().over(Window.partitionBy(*groups, "__salt").orderBy(*order))
+    salted = salted.withColumn("place", near).where(F.col("place") <= n).drop("__salt")
+    place = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+    return salted.withColumn("place", place).where(F.col("place") <= n)
+
+
 def text_bytes(column: pa.Array) -> pa.Array:
     """A string column as bytes, null as empty."""
     return pc.fill_null(column, "").cast(pa.large_binary())

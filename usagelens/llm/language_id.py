@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import ngrams
-from .common import text_batches, text_bytes
+from .common import smallest_hashes, text_batches, text_bytes
 
 FIT_DOCS = 400
 CALIBRATION_DOCS = 200
@@ -100,11 +100,8 @@ def train(docs: DataFrame, fit_docs: int = FIT_DOCS, calibration_docs: int = CAL
     """Fit on doc_id, text, lang rows that are not held out."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     n_docs, frequencies = ngrams.document_frequencies(known)
-    # the sample: per language the documents of smallest hash, ids first, so
-    # that no text is sorted
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    most = fit_docs + calibration_docs
-    ids = known.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    # the sample: ids first, so that no text is sorted
+    ids = smallest_hashes(known.select("doc_id", "lang"), ["lang"], fit_docs + calibration_docs)
     rows = known.select("doc_id", "text", "lang").join(F.broadcast(ids.select("doc_id", "lang", "place")), ["doc_id", "lang"])
     sample = sorted(rows.collect(), key=lambda r: (r.place, r.lang, r.text))
     if not sample:

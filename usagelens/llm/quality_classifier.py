@@ -30,9 +30,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import text_batches, text_bytes
+from .common import smallest_hashes, text_batches, text_bytes
 from .language_id import Ftrl
 
 FIT_DOCS = 1500
@@ -126,9 +126,8 @@ class _Row(dict):
 
 def fit_classifiers(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> dict[str, Classifier | None]:
     """Quality and toxicity classifiers from labelled documents."""
-    place = F.row_number().over(Window.partitionBy("quality", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labels.select("doc_id", "quality", "toxic").where(F.col("doc_id").isNotNull()).distinct() \
-        .withColumn("place", place).where(F.col("place") <= fit_docs)
+    labelled = labels.select("doc_id", "quality", "toxic").where(F.col("doc_id").isNotNull()).distinct()
+    chosen = smallest_hashes(labelled, ["quality", "toxic"], fit_docs)
     # at most fit_docs rows for each of the nine pairs of labels, null included
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").collect()
     features = Features()

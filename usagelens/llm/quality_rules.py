@@ -54,6 +54,11 @@ DEFAULT_RULES = [
 ]
 
 
+RESULT_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words",
+                  "mean_word_chars", "symbols_per_word", "dup_line_share", "stop_word_share",
+                  "base_failed", "failed_rules", "kept")
+
+
 def _ratio(a: str, b: str) -> Column:
     """a / b, 0 for an empty denominator."""
     return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
@@ -140,4 +145,10 @@ def quality_rules(df: DataFrame, rules: list[Rule] | None = None, text: str = "t
                        (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
         "failed_rules": compile_rules(DEFAULT_RULES if rules is None else rules),
     })
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    added = [c for c in out.columns if c not in df.columns or c in RESULT_COLUMNS]
+    # A filter on the results must not be pushed into the projection, where it
+    # would repeat the expressions of all arrays; a generator stops it.
+    row = F.explode(F.array(F.struct(*added))).alias("__judged")
+    given = [F.col(f"`{c}`") for c in df.columns if c not in added]
+    return out.select(*given, row).select(*given, "__judged.*")

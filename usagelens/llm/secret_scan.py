@@ -212,7 +212,10 @@ def scan_secrets(df: DataFrame, text: str = "text", base: list[Pattern] | None =
         more.append(_entropy_findings(F.col(f"__m{k}"), k, c.window))
     out = out.withColumn("base_spans", F.sort_array(F.concat(*own)).cast(SPAN))
     out = out.withColumn("spans", F.sort_array(F.concat("base_spans", *more)).cast(SPAN))
-    return out.drop("__t", *[f"__m{k}" for k in range(len(base) + len(entropy))])
+    # as in quality_rules: a generator keeps later filters above the arrays
+    columns = [F.col(f"`{c}`") for c in df.columns if c not in ("base_spans", "spans")]
+    return out.select(*columns, F.explode(F.array(F.struct("base_spans", "spans"))).alias("__found")) \
+        .select(*columns, "__found.*")
 
 
 def kinds(base: list[Pattern] | None = None, entropy: list[EntropyClass] | None = None) -> list[str]:
