@@ -93,9 +93,10 @@ def summaries(docs: DataFrame) -> DataFrame:
 
 def pieces(docs: DataFrame) -> DataFrame:
     """From doc_id, text, words_key, grams (the shared ones): gram, piece_key,
-    doc_id, words_key, start, words (hashes) of every piece. A text whose words
-    do not have the key belongs to another row of the same doc_id."""
-    names = ["gram", "piece_key", "doc_id", "words_key", "start", "words"]
+    doc_id, words_key, starts, words (hashes) of every distinct piece of a
+    document: in a run of one word each window is the same piece. A text whose
+    words do not have the key belongs to another row of the same doc_id."""
+    names = ["gram", "piece_key", "doc_id", "words_key", "starts", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -112,15 +113,21 @@ def pieces(docs: DataFrame) -> DataFrame:
                 cut = np.flatnonzero(np.diff(at)) + 1
                 first, last = np.r_[0, cut], np.r_[cut, len(at)]
                 take = np.isin(gram[first].view(np.int64), wanted)
+                placed: dict[bytes, list[int]] = {}
                 for s, e in zip(first[take].tolist(), last[take].tolist()):
                     held = words[s:e + WINDOW - 1].tobytes()
-                    rows.append((int(gram[s].view(np.int64)), xxhash.xxh3_128_digest(held), doc_id, own, s, held))
+                    key = xxhash.xxh3_128_digest(held)
+                    if key in placed:
+                        placed[key].append(s)
+                    else:
+                        placed[key] = starts = [s]
+                        rows.append((int(gram[s].view(np.int64)), key, doc_id, own, starts, held))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate(
-                    (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary()))], names)
+                    (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()))], names)
 
     return docs.mapInArrow(
-        run, "gram long, piece_key binary, doc_id long, words_key binary, start long, words binary")
+        run, "gram long, piece_key binary, doc_id long, words_key binary, starts array<bigint>, words binary")
 
 
 class SuffixAutomaton:
@@ -281,13 +288,14 @@ def repeated_spans(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         F.min("doc_id").alias("owner"), F.first("words").alias("words")), "distinct-pieces")
     own = to_shared(piece_spans(distinct), "piece-spans")
     owners = distinct.select("gram", "piece_key", "owner").join(own, ["gram", "piece_key"], "left")
-    placed = cut.select("gram", "piece_key", "doc_id", "words_key", "start",
+    placed = cut.select("gram", "piece_key", "doc_id", "words_key", "starts",
                         (F.octet_length("words") / 8).cast("long").alias("length")).join(owners, ["gram", "piece_key"])
     whole = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("length").alias("to")))
     spans = F.when(F.col("doc_id") > F.col("owner"), whole).otherwise(F.col("spans"))
-    moved = F.transform(spans, lambda s: F.struct((s["from"] + F.col("start")).alias("from"),
-                                                  (s["to"] + F.col("start")).alias("to")))
-    return placed.select("doc_id", "words_key", moved.alias("spans")).where("spans IS NOT NULL") \
+    placed = placed.select("doc_id", "words_key", "starts", spans.alias("spans")).where("spans IS NOT NULL")
+    moved = F.flatten(F.transform("starts", lambda at: F.transform("spans", lambda s: F.struct(
+        (s["from"] + at).alias("from"), (s["to"] + at).alias("to")))))
+    return placed.select("doc_id", "words_key", moved.alias("spans")) \
         .groupBy("doc_id", "words_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
