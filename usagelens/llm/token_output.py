@@ -26,6 +26,7 @@ an empty stream; other input columns are not stored.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,6 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import simple8b
+from .byte_bpe import byte_characters
 from .common import text_batches, to_shared
 
 VOCABULARY = "word_bpe_49k.json"
@@ -56,14 +58,32 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self._model = self._tokenizer.model
+        self._chars = dict(enumerate(byte_characters()))
+        self._marks = {"": b""} | {m: np.array(self._tokenizer.encode(
+            m, add_special_tokens=False).ids, "<u4").tobytes() for m in ".,"}
         self._cache: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
         cache = self._cache
         new = list(set().union(*pieces).difference(cache))
-        for k in range(0, len(new), 20_000):
-            some = new[k:k + 20_000]
+        other = []
+        for piece in new:
+            # Latin-1 letters are one pre-token and normalise to lower case, so
+            # the model alone gives their ids; a full stop or comma behind them
+            # is a pre-token of its own.
+            word, mark = (piece[:-1], piece[-1]) if piece.endswith((".", ",")) else (piece, "")
+            if word.isalpha() and max(word) < "\u0100":
+                lower = word.lower()
+                ids = cache.get(lower)
+                if ids is None:
+                    ids = cache[lower] = self._word(lower)
+                cache[piece] = ids + self._marks[mark]
+            else:
+                other.append(piece)
+        for k in range(0, len(other), 20_000):
+            some = other[k:k + 20_000]
             for piece, e in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 cache[piece] = np.array(e.ids, "<u4").tobytes()
         out = [b"".join(map(cache.__getitem__, p)) for p in pieces]
@@ -71,6 +91,12 @@ class WordEncoder:
             cache.clear()
         return out
 
+    def _word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self._chars)
+        ids = [t.id for t in self._model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
 
 @lru_cache(maxsize=2)
 def shared_encoder(path: str) -> WordEncoder:
