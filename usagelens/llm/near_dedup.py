@@ -8,7 +8,10 @@ bin each, so every coordinate fills, and a set is done as soon as all of its
 bins are filled. Two sets agree in a coordinate with probability equal to
 their similarity J, and the agreement is concentrated as for independent
 samples, so ``BANDS`` bands of ``ROWS`` coordinates miss a pair with
-probability (1 - J^ROWS)^BANDS: 5e-6 at J = 0.75.
+probability (1 - J^ROWS)^BANDS: 5e-6 at J = 0.75. One byte of each coordinate
+(the print) tells candidates apart: fewer than ``LEAST_AGREEING`` bytes of the
+first half or of all agree with probability 1e-5 at J = 0.75, and nearly
+always at J = 0.6.
 
 Linking:
 1. Documents with equal sets form a class; only its smallest doc_id goes on.
@@ -17,9 +20,10 @@ Linking:
    copies by one comparison each.
 3. Buckets that still hold several components are compared exhaustively, but
    never all at once: in each round the members with the largest components
-   become centres (1, 4, 16, ... of a bucket) and meet the bucket's members of
+   become centres (1, 16, 256, ... of a bucket) and meet the bucket's members of
    other components, until no bucket has a pair left that is not compared or
-   in one component. No bucket, partner or candidate is capped or dropped.
+   in one component. Only pairs whose prints agree leave that join. No bucket,
+   partner or candidate is capped.
 4. Every candidate pair is confirmed on the full sets, in integers.
 
 Edge cases: null and empty texts and texts without words have no shingles and
@@ -37,13 +41,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import U64, WordHashes, mix64, text_batches, text_bytes, to_shared
 from .components import connected_components
 
 SHINGLE = 5
-SIZE, BANDS, ROWS = 128, 32, 4
+SIZE, BANDS, ROWS = 512, 32, 4
+LEAST_AGREEING = (159, 342)
 MIN_PERCENT = 75
 MAX_BROADCAST_IDS = 2_000_000  # 16 MB of ids
 
@@ -78,13 +83,13 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     flat, empty = out.reshape(-1), np.iinfo(np.uint64).max
     doc = np.repeat(np.arange(len(sets)), sizes)
     items = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    value_bits = U64((1 << 56) - 1)
+    value_bits = U64((1 << 54) - 1)  # the rounds need the 10 bits above
     for i in range(2 * SIZE):
         if not len(items):
             break
         x = mix64(items ^ _ROUNDS[i])
-        bins = (x >> U64(57)).astype(np.int64) if i < SIZE else i - SIZE
-        np.minimum.at(flat, doc * SIZE + bins, (U64(i) << U64(56)) | (x & value_bits))
+        bins = (x >> U64(55)).astype(np.int64) if i < SIZE else i - SIZE
+        np.minimum.at(flat, doc * SIZE + bins, (U64(i) << U64(54)) | (x & value_bits))
         live = (out == empty).any(1)[doc]
         if not live.all():
             doc, items = doc[live], items[live]
@@ -93,26 +98,49 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
 
 def band_keys(sketches: np.ndarray) -> np.ndarray:
     """A 64-bit key per band; equal keys make candidates, never links."""
-    rows = mix64(sketches).reshape(len(sketches), BANDS, ROWS)
+    rows = mix64(sketches[:, :BANDS * ROWS]).reshape(len(sketches), BANDS, ROWS)
     return mix64((rows * _ROW_WEIGHTS).sum(2, dtype=np.uint64) + _BAND_SEEDS)
 
 
+def prints(sketches: np.ndarray) -> np.ndarray:
+    """A byte of each coordinate, eight to a 64-bit integer."""
+    return (mix64(sketches ^ U64(99)) & U64(0xFF)).astype(np.uint8).view(np.int64)
+
+
+def alike(a: Column, b: Column) -> Column:
+    """Whether enough bytes of two prints agree; the second half is looked at
+    only if the first agrees."""
+    def differing(x: Column, y: Column) -> Column:
+        d = x.bitwiseXOR(y)
+        for shift in (4, 2, 1):  # the bits of each byte, folded into its lowest
+            d = d.bitwiseOR(F.shiftrightunsigned(d, shift))
+        return F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
+
+    def agreeing(n: int) -> Column:
+        pairs = F.zip_with(F.slice(a, 1, n // 8), F.slice(b, 1, n // 8), differing)
+        return n - F.aggregate(pairs, F.lit(0), lambda total, d: total + d)
+
+    return (agreeing(SIZE // 2) >= LEAST_AGREEING[0]) & (agreeing(SIZE) >= LEAST_AGREEING[1])
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (null without shingles) and band keys."""
+    """doc_id, n_shingles, set_key (null without shingles), bands and prints."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in text_batches(batches):
             sets = shingle_sets(text_bytes(batch.column("text")).to_pylist(), hashes)
             full = [s for s in sets if len(s)]
-            keys = iter(band_keys(sketch(full)).view(np.int64) if full else ())
+            sketches = sketch(full)
+            keys, bytes_ = iter(band_keys(sketches).view(np.int64)), iter(prints(sketches))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                 pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "bands"])
+                 pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                 pa.array([next(bytes_) if len(s) else None for s in sets], pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "set_key", "bands", "prints"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, set_key binary, bands array<bigint>")
+        run, "doc_id long, n_shingles long, set_key binary, bands array<bigint>, prints array<bigint>")
 
 
 def only_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -160,13 +188,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     signed = to_shared(signatures(docs), "signatures")
     linked = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = to_shared(linked.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands")).alias("first"))
-                        .select("set_key", F.col("first.doc_id").alias("node"), F.col("first.bands").alias("bands")),
-                        "classes")
+    classes = to_shared(linked.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands", "prints")).alias("first"))
+                        .select("set_key", F.col("first.doc_id").alias("node"), "first.bands", "first.prints"), "classes")
     members = classes.select("node", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")) \
         .where("least < most").drop("most")
-    buckets = to_shared(members.join(shared, "key"), "buckets")
+    buckets = members.join(shared, "key").join(classes.select("node", "prints"), "node")
+    buckets = to_shared(buckets, "buckets")
     sets = to_shared(full_sets(docs, buckets.select("node").distinct()), "full-sets")
 
     # every class against the smallest member of its buckets
@@ -186,15 +214,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             known = component.select(F.col("node").alias("a"), F.col("component").alias("b"))
             component = to_shared(connected_components(links.unionByName(known)), "components")
         # buckets go on without the centres that have met all of their members
-        buckets = to_shared(left.where(F.col("place") > centres).select("key", "node"), "buckets")
-        centres *= 4
+        buckets = left.where(F.col("place") > centres).select("key", "node", "prints")
+        centres *= 16
 
     return _per_document(signed, classes, component)
 
 
 def _open_members(buckets: DataFrame, component: DataFrame) -> DataFrame:
     """Members of the buckets that hold several components, largest first."""
-    placed = buckets.select("key", "node").join(component, "node", "left") \
+    placed = buckets.select("key", "node", "prints").join(component, "node", "left") \
         .withColumn("component", F.coalesce("component", "node"))
     several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")) \
         .where("low < high").select("key")
@@ -204,17 +232,17 @@ def _open_members(buckets: DataFrame, component: DataFrame) -> DataFrame:
 
 def _next_pairs(members: DataFrame, centres: int) -> DataFrame:
     """Each bucket's first ``centres`` members with its members of other
-    components, as distinct pairs a > b."""
+    components whose prints agree, as distinct pairs a > b."""
     centre = members.where(F.col("place") <= centres).select(
-        "key", F.col("node").alias("c"), F.col("component").alias("cc"))
-    return members.join(centre, "key").where("component <> cc").select(
+        "key", F.col("node").alias("c"), F.col("component").alias("cc"), F.col("prints").alias("cp"))
+    return members.join(centre, "key").where("component <> cc").where(alike(F.col("prints"), F.col("cp"))).select(
         F.greatest("node", "c").alias("a"), F.least("node", "c").alias("b")).distinct()
 
 
 def _per_document(signed: DataFrame, classes: DataFrame, component: DataFrame) -> DataFrame:
     names = classes.select("set_key", "node").join(component, "node", "left").select(
         "set_key", F.coalesce("component", "node").alias("component"))
-    out = signed.drop("bands").join(names, "set_key", "left")
+    out = signed.drop("bands", "prints").join(names, "set_key", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"),
                       F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
