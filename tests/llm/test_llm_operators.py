@@ -191,6 +191,38 @@ def test_substring_dedup(spark, texts, documents, given, monkeypatch, shard):
     same(queries.op7_substring_dedup(spark, "").collect(), brute.without_repeats(texts))
 
 
+def test_common_phrases_stay_in_shard_size(spark, given, monkeypatch):
+    """A phrase of few words in every document, different words around it:
+    no task gets more than a shard of its pieces, and none is lost."""
+    rnd = random.Random(4)
+    hashes = substring_dedup.WordHashes()
+
+    def rank(phrase):  # of its smallest gram
+        words = hashes.array([w.encode() for w in phrase])
+        return min(int(substring_dedup.mix64(np.array([(words[k:k + 10] * substring_dedup._WEIGHTS[:10]).sum()]))[0])
+                   for k in range(len(words) - 9))
+
+    phrases = [min(([f"p{rnd.randrange(10**6)}" for _ in range(n)] for _ in range(k)), key=rank)
+               for n, k in ((12, 2000), (35, 500), (75, 200))]
+    texts = []
+    for i in range(150):
+        own = [f"u{i}_{k}" for k in range(240)]
+        texts.append((i, " ".join(own[:60] + phrases[0] + own[60:120] + phrases[1] + own[120:180] + phrases[2] + own[180:])))
+
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 2000)
+    real = substring_dedup.shard_spans
+
+    def shard_spans(group):
+        assert sum(len(x[3]) for x in group) <= 2000, "more than a shard in one task"
+        return real(group)
+
+    monkeypatch.setattr(substring_dedup, "shard_spans", shard_spans)
+    given(documents=spark.createDataFrame(texts, "doc_id long, text string").repartition(3))
+    expected = brute.without_repeats(texts)
+    assert sum(x[2] > 0 for x in expected) == 149
+    same(queries.op7_substring_dedup(spark, "").collect(), expected)
+
+
 def test_language_id(spark, given):
     docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text", "lang")
     extra = spark.createDataFrame([(3000, None, "en"), (3001, "12 34 !", "en"), (3002, "", None)], docs.schema)

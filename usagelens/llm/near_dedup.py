@@ -143,11 +143,11 @@ def signatures(docs: DataFrame) -> DataFrame:
         run, "doc_id long, n_shingles long, set_key binary, bands array<bigint>, prints array<bigint>")
 
 
-def only_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of ``df`` whose doc_id is (not) in ``ids``; the ids are broadcast
+def only_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi", key: str = "doc_id") -> DataFrame:
+    """Rows of ``df`` whose ``key`` is (not) in ``ids``; the ids are broadcast
     only if they were counted to be few, else both sides are shuffled."""
     few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, "doc_id", how)
+    return df.join(F.broadcast(ids) if few else ids, key, how)
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:

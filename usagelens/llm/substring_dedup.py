@@ -15,10 +15,14 @@ are judged on the input.
    grams form reference shards of about ``SHARD_WORDS`` words. A shard's suffix
    automaton holds, per state, the smallest doc_id in which its strings end.
    Its pieces stream through it: a matching statistic of ``WINDOW`` or more
-   whose state knows a smaller doc_id marks the window ending there. A gram
-   with more words than a shard is cut into several automata, and its pieces
-   stream through each, so memory stays bounded and no piece is dropped.
-4. Marked spans of a document are united and cut from its whole text.
+   whose state knows a smaller doc_id marks the window ending there.
+4. A gram whose pieces have more words than a shard is not dealt: boilerplate
+   of few words brings a distinct piece per document. Its windows pick again, by
+   the longer grams of ``FINER`` (equal windows still pick equal grams), and
+   the smaller pieces are judged like the first ones. The last gram is the
+   window itself, which needs only its smallest doc_id: a sum per task first.
+   So no task holds more words than a shard, and no piece is dropped.
+5. Marked spans of a document are united and cut from its whole text.
 
 The automata are dealt with their pieces and not broadcast: repeated text
 grows with the corpus, so a broadcast would have no size bound, and each
@@ -46,19 +50,20 @@ from .near_dedup import only_ids
 
 WINDOW = 50
 GRAM = 10
+FINER = (20, WINDOW)  # grams of pieces too many for a shard
 SHARD_WORDS = 40_000
 
-_WEIGHTS = mix64(np.arange(1, GRAM + 1, dtype=np.uint64)) | U64(1)
+_WEIGHTS = mix64(np.arange(1, WINDOW + 1, dtype=np.uint64)) | U64(1)
 
 
-def picked_grams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the gram that each window picks."""
-    n = len(words) - GRAM + 1
+def picked_grams(words: np.ndarray, width: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of the gram of ``width`` words that each window picks."""
+    n = len(words) - width + 1
     grams = words[:n] * _WEIGHTS[0]
-    for k in range(1, GRAM):
+    for k in range(1, width):
         grams = grams + words[k:k + n] * _WEIGHTS[k]
     grams = mix64(grams)
-    views = sliding_window_view(grams, WINDOW - GRAM + 1)
+    views = sliding_window_view(grams, WINDOW - width + 1)
     at = np.concatenate([views[k:k + 4096].argmin(1) + np.arange(k, min(k + 4096, len(views)))
                          for k in range(0, len(views), 4096)])
     return at, grams[at]
@@ -91,6 +96,28 @@ def summaries(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_words long, words_key binary, digest string, grams array<bigint>")
 
 
+def cut_pieces(words: np.ndarray, width: int = GRAM,
+               wanted: list[int] | None = None) -> list[tuple[int, bytes, list[int], bytes]]:
+    """(gram, piece_key, starts, words) of the distinct pieces around the grams
+    ``wanted`` (all if None)."""
+    at, gram = picked_grams(words, width)
+    gram = gram.view(np.int64)
+    cut = np.flatnonzero(np.diff(at)) + 1
+    first, last = np.r_[0, cut], np.r_[cut, len(at)]
+    if wanted is not None:
+        take = np.isin(gram[first], wanted)
+        first, last = first[take], last[take]
+    placed: dict[bytes, tuple[int, bytes, list[int], bytes]] = {}
+    for s, e in zip(first.tolist(), last.tolist()):
+        held = words[s:e + WINDOW - 1].tobytes()
+        key = xxhash.xxh3_128_digest(held)
+        if key in placed:
+            placed[key][2].append(s)
+        else:
+            placed[key] = (int(gram[s]), key, [s], held)
+    return list(placed.values())
+
+
 def pieces(docs: DataFrame) -> DataFrame:
     """From doc_id, text, words_key, grams (the shared ones): gram, piece_key,
     doc_id, words_key, starts, words (hashes) of every distinct piece of a
@@ -108,20 +135,8 @@ def pieces(docs: DataFrame) -> DataFrame:
                 raw = text.split()
                 if words_key(raw) != own:
                     continue
-                words = hashes.array(raw)
-                at, gram = picked_grams(words)
-                cut = np.flatnonzero(np.diff(at)) + 1
-                first, last = np.r_[0, cut], np.r_[cut, len(at)]
-                take = np.isin(gram[first].view(np.int64), wanted)
-                placed: dict[bytes, list[int]] = {}
-                for s, e in zip(first[take].tolist(), last[take].tolist()):
-                    held = words[s:e + WINDOW - 1].tobytes()
-                    key = xxhash.xxh3_128_digest(held)
-                    if key in placed:
-                        placed[key].append(s)
-                    else:
-                        placed[key] = starts = [s]
-                        rows.append((int(gram[s].view(np.int64)), key, doc_id, own, starts, held))
+                rows += [(gram, key, doc_id, own, starts, held)
+                         for gram, key, starts, held in cut_pieces(hashes.array(raw), wanted=wanted)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate(
                     (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()))], names)
@@ -215,60 +230,120 @@ def united(ends: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
 def shard_spans(group: list[tuple[int, bytes, int, list[int]]]):
     """(gram, piece_key, spans) for pieces (gram, key, owner, words) of one
     shard, whose owner may still repeat a smaller document."""
-    found: list[set[int]] = [set() for _ in group]
-    at = 0
-    while at < len(group):  # one automaton, or several for a very common gram
-        automaton, n = SuffixAutomaton(), 0
-        while at < len(group) and n < SHARD_WORDS:
-            automaton.add(group[at][3], group[at][2])
-            n += len(group[at][3])
-            at += 1
-        automaton.close()
-        for ends, (_, _, owner, words) in zip(found, group):
-            ends.update(automaton.repeated(words, owner))
-    for ends, (gram, key, _, _) in zip(found, group):
+    automaton = SuffixAutomaton()
+    for _, _, owner, words in group:
+        automaton.add(words, owner)
+    automaton.close()
+    for gram, key, owner, words in group:
+        ends = automaton.repeated(words, owner)
         if ends:
-            yield gram, key, [{"from": s, "to": e} for s, e in united(sorted(ends))]
+            yield gram, key, [{"from": s, "to": e} for s, e in united(ends)]
 
 
 _SPANS = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
 
 
-def piece_spans(distinct: DataFrame) -> DataFrame:
+def dealt_spans(distinct: DataFrame) -> DataFrame:
     """gram, piece_key, spans of the pieces that repeat, in their own smallest
-    document, a passage of a still smaller one."""
+    document, a passage of a still smaller one. No gram has more words than a
+    shard."""
+    bound = SHARD_WORDS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, gram, size = [], [], 0
         rows: list[tuple] = []
 
-        def flush():
-            nonlocal rows
-            found = list(shard_spans(shard))
-            rows += found
+        def close_gram():
+            nonlocal shard, gram, size, rows
+            if len(gram) > 1:  # a gram with one piece repeats nothing smaller
+                n = sum(len(x[3]) for x in gram)
+                if size + n > bound:
+                    rows += shard_spans(shard)
+                    shard, size = [], 0
+                shard += gram
+                size += n
+            gram = []
 
         for batch in batches:
             for g, key, owner, words in zip(*(batch.column(c).to_pylist() for c in ("gram", "piece_key", "owner", "words"))):
                 if gram and g != gram[0][0]:
-                    if len(gram) > 1:  # a gram with one piece repeats nothing smaller
-                        shard += gram
-                        size += sum(len(x[3]) for x in gram)
-                    gram = []
-                    if size >= SHARD_WORDS:
-                        flush()
-                        shard, size = [], 0
+                    close_gram()
                 gram.append((g, key, owner, np.frombuffer(words, np.uint64).tolist()))
             if rows:
                 yield _span_batch(rows)
                 rows = []
-        if len(gram) > 1:
-            shard += gram
-        flush()
+        close_gram()
+        rows += shard_spans(shard)
         yield _span_batch(rows)
 
-    dealt = distinct.repartition("gram").sortWithinPartitions("gram", "owner", "piece_key")
+    dealt = distinct.select("gram", "piece_key", "owner", "words").repartition("gram") \
+        .sortWithinPartitions("gram", "owner", "piece_key")
     return dealt.mapInArrow(run, "gram long, piece_key binary, spans array<struct<from:bigint,to:bigint>>")
 
 
+def distinct_pieces(cut: DataFrame, owner: str) -> DataFrame:
+    """gram, piece_key, owner (the smallest), words, length of all pieces."""
+    return cut.groupBy("gram", "piece_key").agg(F.min(owner).alias("owner"), F.first("words").alias("words")) \
+        .withColumn("length", (F.octet_length("words") / 8).cast("long"))
+
+
+def finer_pieces(distinct: DataFrame, width: int) -> DataFrame:
+    """The pieces of each piece by grams of ``width`` words: of (gram,
+    piece_key), they are ``in_gram``, ``in_key``. Windows have no words."""
+    names = ["in_gram", "in_key", "in_owner", "gram", "piece_key", "starts", "words", "length"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, "words"):
+            rows = []
+            for g, k, owner, words in zip(*(batch.column(c).to_pylist() for c in ("gram", "piece_key", "owner", "words"))):
+                rows += [(g, k, owner, gram, key, starts, held if width < WINDOW else b"", len(held) // 8)
+                         for gram, key, starts, held in cut_pieces(np.frombuffer(words, np.uint64), width)]
+            for at in range(0, len(rows), 10_000):
+                some = rows[at:at + 10_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[i] for r in some], t) for i, t in enumerate(
+                        (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()),
+                         pa.binary(), pa.int64()))], names)
+
+    return distinct.select("gram", "piece_key", "owner", "words").mapInArrow(
+        run, "in_gram long, in_key binary, in_owner long, gram long, piece_key binary, starts array<bigint>, "
+             "words binary, length long")
+
+
+def moved_spans(placed: DataFrame, owner: str) -> DataFrame:
+    """``placed`` (starts, length, spans, owner) with ``spans`` where its
+    pieces start; all of a piece that a smaller owner holds. Others go."""
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("length").alias("to")))
+    spans = F.when(F.col(owner) > F.col("owner"), whole).otherwise(F.col("spans"))
+    moved = F.flatten(F.transform("starts", lambda at: F.transform("spans", lambda s: F.struct(
+        (s["from"] + at).alias("from"), (s["to"] + at).alias("to")))))
+    return placed.withColumn("spans", spans).where("spans IS NOT NULL").withColumn("spans", moved)
+
+
+def piece_spans(distinct: DataFrame, finer: tuple[int, ...] = FINER) -> DataFrame:
+    """gram, piece_key, spans (maybe overlapping) of the pieces that repeat, in
+    their own smallest document, a passage of a still smaller one."""
+    common = to_shared(distinct.groupBy("gram").agg(F.sum("length").alias("n"), F.count("*").alias("k"))
+                       .where((F.col("n") > SHARD_WORDS) & (F.col("k") > 1)).select("gram"), "common-grams")
+    if common.isEmpty():
+        return to_shared(dealt_spans(distinct), "piece-spans")
+    dealt = to_shared(dealt_spans(only_ids(distinct, common, "left_anti", "gram")), "piece-spans")
+
+    width, *rest = finer
+    cut = to_shared(finer_pieces(only_ids(distinct, common, key="gram"), width), "finer-pieces")
+    if width == WINDOW:
+        owners = cut.groupBy("gram", "piece_key").agg(F.min("in_owner").alias("owner")) \
+            .withColumn("spans", F.lit(None).cast("array<struct<from:bigint,to:bigint>>"))
+    else:
+        smaller = to_shared(distinct_pieces(cut, "in_owner"), "distinct-pieces")
+        owners = smaller.select("gram", "piece_key", "owner").join(
+            piece_spans(smaller, tuple(rest)), ["gram", "piece_key"], "left")
+    placed = moved_spans(cut.drop("words").join(to_shared(owners, "owners"), ["gram", "piece_key"]), "in_owner")
+    found = placed.groupBy("in_gram", "in_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return dealt.unionByName(to_shared(found.select(
+        F.col("in_gram").alias("gram"), F.col("in_key").alias("piece_key"), "spans"), "finer-spans"))
+
+
 def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()),
@@ -284,19 +359,12 @@ def repeated_spans(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         F.collect_list("gram").alias("grams")), "shared-grams")
     texts = only_ids(docs.select("doc_id", "text"), wanted.select("doc_id").distinct())
     cut = to_shared(pieces(texts.join(wanted, "doc_id")), "pieces")
-    distinct = to_shared(cut.groupBy("gram", "piece_key").agg(
-        F.min("doc_id").alias("owner"), F.first("words").alias("words")), "distinct-pieces")
-    own = to_shared(piece_spans(distinct), "piece-spans")
-    owners = distinct.select("gram", "piece_key", "owner").join(own, ["gram", "piece_key"], "left")
-    placed = cut.select("gram", "piece_key", "doc_id", "words_key", "starts",
-                        (F.octet_length("words") / 8).cast("long").alias("length")).join(owners, ["gram", "piece_key"])
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("length").alias("to")))
-    spans = F.when(F.col("doc_id") > F.col("owner"), whole).otherwise(F.col("spans"))
-    placed = placed.select("doc_id", "words_key", "starts", spans.alias("spans")).where("spans IS NOT NULL")
-    moved = F.flatten(F.transform("starts", lambda at: F.transform("spans", lambda s: F.struct(
-        (s["from"] + at).alias("from"), (s["to"] + at).alias("to")))))
-    return placed.select("doc_id", "words_key", moved.alias("spans")) \
-        .groupBy("doc_id", "words_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    distinct = to_shared(distinct_pieces(cut, "doc_id"), "distinct-pieces")
+    owners = distinct.select("gram", "piece_key", "owner").join(piece_spans(distinct), ["gram", "piece_key"], "left")
+    placed = moved_spans(cut.select(
+        "gram", "piece_key", "doc_id", "words_key", "starts",
+        (F.octet_length("words") / 8).cast("long").alias("length")).join(owners, ["gram", "piece_key"]), "doc_id")
+    return placed.groupBy("doc_id", "words_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def cut_texts(docs: DataFrame) -> DataFrame:
