@@ -147,6 +147,21 @@ def test_word_encoder_splits_like_the_library():
     assert [np.frombuffer(x, "<u4").tolist() for x in token_output.WordEncoder(path).encode(texts)] == expected
 
 
+def test_added_tokens_as_by_the_library(spark, given):
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(token_output.VOCABULARY))
+    texts = [x for t in ("<|endoftext|>", "<|startoftext|>") for x in (
+        t, f"a {t} b", f"a{t}b", f"É.{t}, x", t + t, f"\n{t}\t's{t}", t.upper(), t[:-1], f"<{t}>", f"e{t}\u0301", f"1 {t}.")]
+    given(documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    expected, at = [], 0
+    for d, t in enumerate(texts):
+        ids = tokenizer.encode(t, add_special_tokens=False).ids + [1]
+        expected.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert tokenizer.encode(texts[1], add_special_tokens=False).ids == [320, 49407, 321]
+    same(queries.op4_token_output(spark, "").collect(), expected)
+
+
 @pytest.mark.parametrize("values", [
     [], [0], [2**64 - 1, 2**60, 2**60 - 1, 1], [0] * 1000, [1] * 129, list(range(70000)),
     [(14 << 60) + 5] * 300 + [3] * 300])

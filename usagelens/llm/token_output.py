@@ -19,6 +19,9 @@ Texts are split at spaces and newlines before encoding: the vocabulary's
 pre-tokeniser never joins text across white space, so pieces are encoded once
 and remembered (at most ``CACHE_BOUND`` of them per worker).
 
+The strings of the vocabulary's added tokens (``<|endoftext|>``) get their ids,
+as by the library's default; they hold no white space, so no split cuts them.
+
 Edge cases: a null text counts as empty and still has its end id; documents of
 one doc_id are ordered by text; a null doc_id comes first; an empty table gives
 an empty stream; other input columns are not stored.
@@ -57,7 +60,6 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self._model = self._tokenizer.model
         self._chars = dict(enumerate(byte_characters()))
         self._marks = {"": b""} | {m: np.array(self._tokenizer.encode(
