@@ -99,6 +99,23 @@ def test_secret_scan(spark, texts, given):
          [(d, *brute.secrets(t, secret_scan.kinds(), secret_scan.ENTROPY, secret_scan.ALLOW)) for d, t in rows])
 
 
+def test_entropy_of_narrow_classes(spark):
+    rnd = random.Random(7)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    tokens = [(kind, "".join(rnd.choice(of) for _ in range(40))) for kind, of in (
+        ("entropy_base36", low + digits), ("entropy_base32", up + digits), ("entropy_letters", low + up)) for _ in range(30)]
+    plain = ["Einungtzheitgeungverlich", "keitstlichschenverpf", "z1" * 30, "Z1" * 30, "zB" * 30, "x" * 60,
+             "DonaudampfschifffahrtsGesellschaft"]
+    rows = [(i, f"é {t}. x") for i, (_, t) in enumerate(tokens)] + [(1000 + i, t) for i, t in enumerate(plain)]
+    names = secret_scan.kinds()
+    out = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r for r in out.collect()}
+    missed = [t for i, (kind, t) in enumerate(tokens) if kind not in [names[s.kind] for s in got[i].spans]]
+    assert missed == [] and not any(got[1000 + i].spans for i in range(len(plain)))
+    spans = [(s.start, s.end) for i in range(len(tokens)) for s in got[i].spans]
+    assert all(2 <= a and b <= 42 for a, b in spans)
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é token=abcdefghijklmnop and deadbeefdeadbeef0"), (2, None), (3, "")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in secret_scan.redact(secret_scan.scan_secrets(df)).collect()}

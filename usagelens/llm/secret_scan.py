@@ -60,6 +60,12 @@ ENTROPY = [
     EntropyClass("entropy_hex", r"(?:[0-9A-F]{20,})", _DIGITS + "ABCDEF", r"[A-F]", 20, 3.0),
     EntropyClass("entropy_base64", r"(?:[A-Za-z0-9+/_=-]{20,})", _UPPER + _LOWER + _DIGITS + "+/_=-",
                  r"(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])", 20, 3.8),
+    # 99% of random runs of 24 reach 3.5 (base 36 and 32) and 3.68 (letters).
+    # Letters must change to upper case three times, as names rarely do; those
+    # of one case only are no class: words reach the entropy of random ones.
+    EntropyClass("entropy_base36", r"(?:[a-z0-9]{20,})", _LOWER + _DIGITS, r"(?=.*[0-9])(?=.*[a-z])", 20, 3.4),
+    EntropyClass("entropy_base32", r"(?:[A-Z0-9]{20,})", _UPPER + _DIGITS, r"(?=.*[0-9])(?=.*[G-Z])", 20, 3.4),
+    EntropyClass("entropy_letters", r"(?:[A-Za-z]{20,})", _UPPER + _LOWER, r"(?:[a-z]+[A-Z]+){3}", 20, 3.7),
 ]
 
 # Strings of high entropy that are no secrets: documentation samples, content
