@@ -308,7 +308,8 @@ def test_url_rules_in_blocks(spark):
 def test_empty_tables(spark, given, name):
     empty = lambda schema: spark.createDataFrame([], schema)
     given(documents=empty(COLUMNS), benchmark=empty("item_id long, text string"),
-          labels=empty("doc_id long, quality int, toxic int"), pages=empty("page_id long, url string, html string"))
+          labels=empty("doc_id long, quality int, toxic int"), pages=empty("page_id long, url string, html string"),
+          embeddings=empty("vec_id long, embedding array<float>, label int"))
     assert queries.QUERIES[name](spark, "").count() == 0
 
 

@@ -66,7 +66,20 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict
 FROM p LEFT JOIN best USING (r)
 """
 
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)
+SELECT a.vec_id AS query_id,
+  (row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.q, b.q) DESC, b.vec_id))::INTEGER AS rank,
+  b.vec_id AS vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+QUALIFY rank <= 5
+"""
+
 ORACLE: dict[str, str] = {
     "op1_quality_rules": QUALITY,
     "op10_url_filter": URLS,
+    "op11_topk_search": TOP_K,
 }

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (byte_bpe, decontaminate, language_id, near_dedup, quality_classifier,
-               secret_scan, substring_dedup, token_output, url_filter)
+               secret_scan, substring_dedup, token_output, topk_search, url_filter)
 from . import quality_rules as quality
 from .common import read_table, to_shared
 
@@ -116,3 +116,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every url of ``pages``."""
     out = url_filter.judge_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best other rows of every vector of ``embeddings`` whose id is
+    divisible by 50, by integer inner product."""
+    return topk_search.top_k(read_table(spark, sf_dir, "embeddings"), every=50, k=5)
