@@ -78,8 +78,38 @@ FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
 QUALIFY rank <= 5
 """
 
+PHRASES = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), f AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM w, range(1, 4) t(k), unnest(range(1, len(w) - k + 2)) u(i) GROUP BY ALL
+), c AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10
+), cut AS (
+  SELECT c.*, j.k AS at, x.f AS l, y.f AS r, (1000000 * a::HUGEINT * a) // (x.f::HUGEINT * y.f) AS score
+  FROM c JOIN range(1, 3) j(k) ON j.k < c.k
+  JOIN f x ON x.lang = c.lang AND x.k = j.k AND x.phrase = array_to_string(w[1:j.k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.k = c.k - j.k AND y.phrase = array_to_string(w[j.k + 1:], ' ')
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, at) = 1
+), held AS (
+  SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS longest
+  FROM c, unnest([1, 2]) u(i) WHERE k = 3 GROUP BY ALL
+), total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+  phrase, a, l, r, n, score::BIGINT AS score
+FROM cut LEFT JOIN held USING (lang, phrase) JOIN total USING (lang)
+WHERE longest IS NULL OR k = 3 OR 100 * longest < 50 * a
+QUALIFY rank <= 2000
+"""
+
 ORACLE: dict[str, str] = {
     "op1_quality_rules": QUALITY,
     "op10_url_filter": URLS,
     "op11_topk_search": TOP_K,
+    "op13_phrase_mining": PHRASES,
 }

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (byte_bpe, decontaminate, language_id, near_dedup, quality_classifier,
-               secret_scan, substring_dedup, token_output, topk_search, url_filter)
+from . import (byte_bpe, decontaminate, language_id, near_dedup, phrase_mining, quality_classifier,
+               secret_scan, spelling_variants, substring_dedup, token_output, topk_search, url_filter)
 from . import quality_rules as quality
 from .common import read_table, to_shared
 
@@ -123,3 +123,16 @@ def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best other rows of every vector of ``embeddings`` whose id is
     divisible by 50, by integer inner product."""
     return topk_search.top_k(read_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of every whole text of ``documents``."""
+    return spelling_variants.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 collocations in the whole texts of
+    ``documents``."""
+    return phrase_mining.collocations(read_table(spark, sf_dir, "documents"))
