@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import to_shared
 
 SCALE = 256
-SHARD_CELLS = 1 << 20
+SHARD_CELLS = 1 << 17  # columns of a shard fit a processor's cache, and early shards raise the score to beat
 BLOCK_CELLS = 1 << 20
 INDEX = "shard long, ids array<bigint>, dims binary, ends binary, rows binary, components binary"
 _LONG = (-(1 << 63), (1 << 63) - 1)
@@ -106,45 +106,61 @@ class Shard:
         values = quantised(np.frombuffer(components, np.float64))
         self.lists = {}
         for dim, a, b in zip(np.frombuffer(dims, np.int32).tolist(), [0, *ends_], ends_):
-            v = values[a:b]
-            # a list that holds every row needs no row numbers
-            self.lists[dim] = (None if b - a == len(ids) else rows_[a:b], v, max(int(v.max()), 0), min(int(v.min()), 0))
+            v, at = values[a:b], rows_[a:b]
+            high, low = max(int(v.max()), 0), min(int(v.min()), 0)
+            if 2 * len(v) > len(ids):  # a list of most rows: a value for every row, no row numbers
+                full = np.zeros(len(ids), values.dtype)
+                full[at] = v
+                v, at = full, None
+            self.lists[dim] = (at, v, high, low)
+        self._gains: dict[tuple[int, bool], np.ndarray] = {}
+
+    def gains(self, dim: int, positive: bool) -> np.ndarray:
+        """Rows (a mask, or their numbers) that a query value of this sign
+        gains from."""
+        if (dim, positive) not in self._gains:
+            rows, values, _, _ = self.lists[dim]
+            mask = values > 0 if positive else values < 0
+            self._gains[dim, positive] = mask if rows is None else rows[mask]
+        return self._gains[dim, positive]
 
     def vector(self, row: int) -> dict[int, int]:
         out = {}
-        for dim, (rows, values, _, _) in self.lists.items():
-            at = row if rows is None else int(np.searchsorted(rows, row))
-            if rows is None or at < len(rows) and rows[at] == row:
-                out[dim] = int(values[at])
+        for dim in self.lists:
+            value = int(self._probe(dim, np.array([row]))[0])
+            if value:
+                out[dim] = value
         return out
 
     def search(self, query: dict[int, int], to_beat: int | None, own: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Rows that may reach ``to_beat`` (all, if None), and their scores."""
-        terms = []
+        terms, wide = [], 0
         for dim, q in query.items():
             if dim in self.lists:
                 _, _, high, low = self.lists[dim]
-                terms.append((q * high if q > 0 else q * low, dim, q))
+                gain, loss = (q * high, q * low) if q > 0 else (q * low, q * high)
+                terms.append((gain, dim, q))
+                wide += max(gain, -loss)
         terms.sort(reverse=True)
         left = [0] * (len(terms) + 1)  # bounds of the terms from i on
         for i in range(len(terms) - 1, -1, -1):
             left[i] = left[i + 1] + terms[i][0]
-        wide = sum(abs(q) * max(self.lists[dim][2], -self.lists[dim][3]) for _, dim, q in terms)
         kind = np.int64 if wide < 1 << 62 else object
-        essential = len(terms)
-        if to_beat is not None and to_beat > 0:
+        essential, able = len(terms), to_beat is not None and to_beat > 0
+        if able:
             essential = next(i for i, x in enumerate(left) if x < to_beat)
         score = np.zeros(len(self.ids), kind)
-        found = np.zeros(len(self.ids), bool) if to_beat is not None and to_beat > 0 else np.ones(len(self.ids), bool)
+        found = np.full(len(self.ids), not able)
         for _, dim, q in terms[:essential]:
             rows, values, _, _ = self.lists[dim]
             part = values.astype(kind, copy=False) * q
             if rows is None:
                 score += part
-                found |= part > 0
+                if able:
+                    found |= self.gains(dim, q > 0)
             else:
                 score[rows] += part
-                found[rows[part > 0]] = True
+                found[self.gains(dim, q > 0)] = True
         if own is not None:
             found[own] = False
         if to_beat is not None:
@@ -156,7 +172,8 @@ class Shard:
                 break
             score = score + self._probe(dim, at).astype(kind, copy=False) * q
             able = score + left[i] >= to_beat
-            at, score = at[able], score[able]
+            if not able.all():
+                at, score = at[able], score[able]
         return at, score
 
     def _probe(self, dim: int, at: np.ndarray) -> np.ndarray:
