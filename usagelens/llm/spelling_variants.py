@@ -13,7 +13,13 @@ word at the root. A level joins it with the edges of its nodes:
 * with an edit, only the edge that continues the word leads on.
 A state with one edit that ends its word where another word ends makes the two
 neighbours. A deletion is an insertion seen from the other word, so pairs are
-completed by their reverse and deletions need no states.
+completed by their reverse and deletions need no states; a letter is replaced by
+larger ones only.
+
+Near the root every word meets every edge. So edits are made in the second half
+of a word only, and the search runs twice, over the words and over the words
+spelt backwards: two near words agree before the edit or behind it in at least
+half of their letters. States that no edge or word's end continues are left out.
 
 All words pass the root and half of them a few nodes below, so the edges of a
 node are repeated once per ``SALT_WORDS`` words beneath it and a state meets
@@ -118,12 +124,13 @@ def trie_steps(words: DataFrame) -> DataFrame:
 
 def trie_edges(words: DataFrame, steps: DataFrame) -> DataFrame:
     """node, salt, first, label, child, ends (a word ends at the child), salts
-    (copies of the child's edges, 0 if it has none)."""
+    (copies of the child's edges, 0 if it has none), nexts (the letters that may
+    follow the child)."""
     nodes = steps.groupBy("node", "next").agg(F.count("*").alias("n")).groupBy("node").agg(
         F.sum(F.when(F.col("next").isNotNull(), F.col("n"))).alias("below"), F.count("next").alias("degree"),
-        F.bool_or(F.col("next").isNull()).alias("ends"))
+        F.bool_or(F.col("next").isNull()).alias("ends"), F.array_join(F.collect_set("next"), "").alias("nexts"))
     nodes = to_shared(nodes.where((F.col("degree") > 1) | F.col("ends") | (F.col("node") == ROOT)).select(
-        "node", "ends", F.when(F.col("degree") > 0, 1 + F.expr(f"below div {SALT_WORDS}")).otherwise(0).alias("salts")),
+        "node", "ends", "nexts", F.when(F.col("degree") > 0, 1 + F.expr(f"below div {SALT_WORDS}")).otherwise(0).alias("salts")),
         "trie-nodes")
     kept = steps.select("end", "position", "node").join(nodes.select("node"), "node")
     path = kept.groupBy("end").agg(F.sort_array(F.collect_list(F.struct("position", "node"))).alias("path"))
@@ -136,23 +143,29 @@ def trie_edges(words: DataFrame, steps: DataFrame) -> DataFrame:
         F.col("x.node").alias("node"), "child", F.expr("substring(word, x.since + 1, x.until - x.since)").alias("label"))
     copies = nodes.where("salts > 0").select("node", F.explode(F.expr("sequence(0, int(salts) - 1)")).alias("salt"))
     return edges.join(nodes.withColumnRenamed("node", "child"), "child").join(copies, "node").select(
-        "node", "salt", F.expr("substring(label, 1, 1)").alias("first"), "label", "child", "ends", "salts")
+        "node", "salt", F.expr("substring(label, 1, 1)").alias("first"), "label", "child", "ends", "salts", "nexts")
 
 
 def next_states(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     """The states one edge further down: word, position, node, edits, ends, salts."""
     states = frontier.withColumn("salt", F.expr("int(pmod(xxhash64(word), salts))")).drop("salts", "ends")
-    rest = "substring(word, position + 1)"
-    state = lambda took, edits: f"named_struct('position', position + {took}, 'edits', {edits})"
-    m = "length(label)"
-    first = states.where("edits = 0").join(edges, ["node", "salt"]).withColumn("to", F.explode(F.expr(
-        f"CASE WHEN startswith({rest}, label) THEN array({state(m, 0)}) ELSE filter(array("
-        f"CASE WHEN length({rest}) >= {m} AND levenshtein(substring({rest}, 1, {m}), label, 1) = 1 THEN {state(m, 1)} END, "
-        f"CASE WHEN length({rest}) >= {m} - 1 AND levenshtein(substring({rest}, 1, {m} - 1), label, 1) = 1 "
-        f"THEN {state(m + ' - 1', 1)} END), x -> x IS NOT NULL) END")))
-    second = states.where("edits = 1").withColumn("first", F.expr("substring(word, position + 1, 1)")) \
-        .join(edges, ["node", "salt", "first"]).where(f"startswith({rest}, label)").withColumn("to", F.expr(state(m, 1)))
-    return first.unionByName(second).select(
+    rest, m, wide = "substring(word, position + 1)", "length(label)", "edits = 0 AND position >= length(word) div 2"
+    state = lambda took, edits="1": f"named_struct('position', position + {took}, 'edits', {edits})"
+    replaced = (f"first > substring(word, position + 1, 1) AND substring({rest}, 2, {m} - 1) = substring(label, 2)"
+                f" OR first = substring(word, position + 1, 1) AND levenshtein(substring({rest}, 1, {m}), label, 1) = 1")
+    taken = (f"length({rest}) >= {m} - 1 AND (first <> substring(word, position + 1, 1) AND "
+             f"substring({rest}, 1, {m} - 1) = substring(label, 2) OR first = substring(word, position + 1, 1) AND "
+             f"levenshtein(substring({rest}, 1, {m} - 1), label, 1) = 1)")
+    steps = (f"CASE WHEN startswith({rest}, label) THEN array({state(m, 'edits')}) WHEN edits = 1 THEN NULL ELSE filter(array("
+             f"CASE WHEN length({rest}) >= {m} AND ({replaced}) THEN {state(m)} END, "
+             f"CASE WHEN {taken} THEN {state(m + ' - 1')} END), x -> x IS NOT NULL) END")
+    first = states.where(wide).join(edges, ["node", "salt"])
+    second = states.where(f"NOT ({wide})").withColumn("first", F.expr("substring(word, position + 1, 1)")) \
+        .join(edges, ["node", "salt", "first"])
+    # a state with an edit goes on only where a word or the trie does
+    able = ("to.edits = 0 OR CASE WHEN to.position = length(word) THEN ends "
+            "ELSE contains(nexts, substring(word, to.position + 1, 1)) END")
+    return first.unionByName(second).withColumn("to", F.explode(F.expr(steps))).where(able).select(
         "word", F.col("to.position").alias("position"), F.col("child").alias("node"), F.col("to.edits").alias("edits"),
         "ends", "salts")
 
@@ -160,12 +173,21 @@ def next_states(frontier: DataFrame, edges: DataFrame) -> DataFrame:
 def near_words(words: DataFrame) -> DataFrame:
     """(word, near): both directions of every near pair of the distinct
     ``word`` column."""
+    ahead = edited_behind_half(words.select("word"))
+    back = edited_behind_half(words.select(F.reverse("word").alias("word")))
+    pairs = ahead.unionByName(back.select(F.reverse("word").alias("word"), F.reverse("near").alias("near")))
+    return pairs.unionByName(pairs.select(F.col("near").alias("word"), F.col("word").alias("near"))).distinct()
+
+
+def edited_behind_half(words: DataFrame) -> DataFrame:
+    """(word, near): pairs whose edit lies in the second half of ``word``, each
+    at least in one direction; others may be among them."""
     steps = to_shared(trie_steps(words), "trie-steps")
-    ends = to_shared(words.select("word").mapInArrow(_end_nodes, "word string, end long"), "trie-ends")
+    ends = to_shared(words.mapInArrow(_end_nodes, "word string, end long"), "trie-ends")
     edges = to_shared(trie_edges(ends, steps), "trie-edges")
     root = edges.where(F.col("node") == ROOT).agg(F.max("salt")).first()[0]
-    frontier = words.select("word", F.lit(0).alias("position"), F.lit(ROOT).alias("node"), F.lit(0).alias("edits"),
-                            F.lit(False).alias("ends"), F.lit(0 if root is None else root + 1).alias("salts"))
+    frontier = ends.select("word", F.lit(0).alias("position"), F.lit(ROOT).alias("node"), F.lit(0).alias("edits"),
+                           F.lit(False).alias("ends"), F.lit(0 if root is None else root + 1).alias("salts"))
     found = ends.where("false").select("word", F.col("end").alias("node"))
     levels = 0
     while root is not None:
@@ -177,9 +199,8 @@ def near_words(words: DataFrame) -> DataFrame:
         frontier = level.where("salts > 0 AND (edits = 0 OR position < length(word))")
         if frontier.isEmpty():
             break
-    pairs = found.join(ends.select(F.col("word").alias("near"), F.col("end").alias("node")), "node") \
-        .where("levenshtein(word, near, 1) = 1").select("word", "near")
-    return pairs.unionByName(pairs.select(F.col("near").alias("word"), F.col("word").alias("near"))).distinct()
+    return to_shared(found.join(ends.select(F.col("word").alias("near"), F.col("end").alias("node")), "node")
+                     .where("levenshtein(word, near, 1) = 1").select("word", "near"), "trie-pairs")
 
 
 def _end_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
