@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -57,10 +58,21 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).replace(b".", b" . ").split()
 
 
+class _Vocabulary(dict):
+    """Ids of words in the order they come; 0 is ``.``."""
+
+    def __init__(self):
+        super().__init__({b".": 0})
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
     """(language, vocabulary, ids): a language's words of a bounded number
     of whole texts. Id 0 stands for piece and text ends."""
-    vocabularies: dict[str, dict[bytes, int]] = defaultdict(lambda: {b".": 0})
+    vocabularies: dict[str, _Vocabulary] = defaultdict(_Vocabulary)
     ids: dict[str, list[np.ndarray]] = defaultdict(list)
     size = 0
 
@@ -77,10 +89,7 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes],
                 vocabularies.clear()
                 ids.clear()
                 size = 0
-            known = vocabularies[lang]
-            for w in set(words).difference(known):
-                known[w] = len(known)
-            ids[lang].append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+            ids[lang].append(np.fromiter(map(vocabularies[lang].__getitem__, words), np.int64, len(words)))
             size += len(words)
     yield from out()
 
@@ -218,6 +227,7 @@ def deal_suffixes(texts: DataFrame, starts: list[int], n_cells: int, extended: l
                 open_ = open_[cells[open_] < 0]
             groups = np.searchsorted(starts, cells, "right") - 1
             order = np.argsort(groups, kind="stable")
+            names_ = pa.array(vocabulary, pa.binary())
             ends = np.flatnonzero(np.diff(groups[order], append=-1)) + 1
             for a, b in zip([0, *ends.tolist()], ends.tolist()):
                 leaves = rows[order[a:b]]
@@ -225,7 +235,7 @@ def deal_suffixes(texts: DataFrame, starts: list[int], n_cells: int, extended: l
                 packed = np.vstack([places[:-1].reshape(leaves.shape).T, counts[order[a:b]]]).astype("<u4")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang]), pa.array([int(groups[order[a]])], pa.int32()),
-                     pa.array([[vocabulary[i] for i in used[1:].tolist()]], pa.list_(pa.binary())),
+                     pa.ListArray.from_arrays(pa.array([0, len(used) - 1], pa.int32()), names_.take(pa.array(used[1:]))),
                      pa.array([packed.tobytes()], pa.binary())], ["lang", "group", "words", "leaves"])
 
     return texts.mapInArrow(run, "lang string, group int, words array<binary>, leaves binary")
@@ -238,33 +248,36 @@ def subtree_counts(dealt: DataFrame, least: int, extended: list[set]) -> DataFra
     sent = dealt.sparkSession.sparkContext.broadcast(extended)
 
     def build(table: pa.Table) -> pa.Table:
-        longer, out = sent.value, ([], [], [])
-        languages = table.column("lang").to_pylist()
+        longer, out = sent.value, []
+        languages = np.array(table.column("lang").to_pylist(), object)
         for lang in sorted(set(languages)):
-            vocabulary: dict[bytes, int] = {b"": 0}
+            rows = table.filter(pa.array(languages == lang))
+            lists = rows.column("words").combine_chunks()
+            encoded = lists.flatten().dictionary_encode()
+            ids, vocabulary = encoded.indices.to_numpy().astype(np.int64) + 1, encoded.dictionary
+            ends = np.cumsum(pc.list_value_length(lists).to_numpy())
             parts = []
-            for i in (i for i, x in enumerate(languages) if x == lang):
-                words = table.column("words")[i].as_py()
-                for w in words:
-                    vocabulary.setdefault(w, len(vocabulary))
-                local = np.fromiter(map(vocabulary.__getitem__, [b"", *words]), np.int64, len(words) + 1)
-                packed = np.frombuffer(table.column("leaves")[i].as_buffer(), "<u4").reshape(DEPTH + 1, -1)
-                parts.append(np.vstack([local[packed[:DEPTH]], packed[DEPTH:].astype(np.int64)]))
+            for leaves, start, end in zip(rows.column("leaves"), [0, *ends.tolist()], ends.tolist()):
+                packed = np.frombuffer(leaves.as_buffer(), "<u4").reshape(DEPTH + 1, -1)
+                local = np.concatenate([[0], ids[start:end]])
+                parts.append(np.vstack([local[packed[:DEPTH]], packed[DEPTH:]]))
             parts = np.concatenate(parts, 1)
-            leaves, counts = _added(list(parts[:DEPTH]), parts[DEPTH], len(vocabulary))
-            names = list(vocabulary)
+            leaves, counts = _added(list(parts[:DEPTH]), parts[DEPTH], len(vocabulary) + 1)
             for depth in range(2, DEPTH + 1):
                 first = _starts(leaves[:, :depth])
                 total = np.add.reduceat(counts, first)
-                for k in np.flatnonzero((total >= least) & (leaves[first, depth - 1] > 0)).tolist():
-                    words = [names[i] for i in leaves[first[k], :depth].tolist()]
-                    if depth < DEPTH and (lang, b" ".join(words)) in longer[depth - 1]:
-                        continue
-                    out[0].append(lang)
-                    out[1].append(words)
-                    out[2].append(int(total[k]))
-        return pa.table([pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.binary())),
-                         pa.array(out[2], pa.int64())], ["lang", "words", "f"])
+                kept = (total >= least) & (leaves[first, depth - 1] > 0)
+                nodes, total = leaves[first[kept], :depth], total[kept]
+                words = vocabulary.take(pa.array(nodes.reshape(-1) - 1))
+                if depth < DEPTH and longer[depth - 1]:
+                    texts = words.to_pylist()
+                    whole = np.array([(lang, b" ".join(texts[depth * k:depth * k + depth])) not in longer[depth - 1]
+                                      for k in range(len(nodes))], bool)
+                    words, total = words.filter(pa.array(np.repeat(whole, depth))), total[whole]
+                n = len(total)
+                out.append(pa.table([pa.array([lang] * n, pa.string()), pa.ListArray.from_arrays(
+                    pa.array(np.arange(n + 1) * depth, pa.int32()), words), pa.array(total, pa.int64())], ["lang", "words", "f"]))
+        return pa.concat_tables(out)
 
     found = to_shared(dealt.groupBy("group").applyInArrow(build, "lang string, words array<binary>, f long"),
                       "phrase-nodes")
