@@ -10,8 +10,8 @@ their similarity J, and the agreement is concentrated as for independent
 samples, so ``BANDS`` bands of ``ROWS`` coordinates miss a pair with
 probability (1 - J^ROWS)^BANDS: 5e-6 at J = 0.75. One byte of each coordinate
 (the print) tells candidates apart: fewer than ``LEAST_AGREEING`` bytes of the
-first half or of all agree with probability 1e-5 at J = 0.75, and nearly
-always at J = 0.6.
+first half or of all agree with probability 5e-7 at J = 0.75, a tenth of what the
+bands miss, and mostly at J = 0.62.
 
 Linking:
 1. Documents with equal sets form a class; only its smallest doc_id goes on.
@@ -19,11 +19,12 @@ Linking:
    with the smallest member of all its buckets, which joins large groups of
    copies by one comparison each.
 3. Buckets that still hold several components are compared exhaustively, but
-   never all at once: in each round the members with the largest components
-   become centres (1, 16, 256, ... of a bucket) and meet the bucket's members of
-   other components, until no bucket has a pair left that is not compared or
-   in one component. Only pairs whose prints agree leave that join. No bucket,
-   partner or candidate is capped.
+   never all at once: every member has a random place in its bucket, and round
+   by round the members up to place 8, 256, 8192, ... become centres and meet
+   the members behind them that are in other components, until no bucket has a
+   pair left that is not compared or in one component. A pair leaves that join
+   only in the first band that both share, if the sizes of the sets allow the
+   similarity and the prints agree. No bucket, partner or candidate is capped.
 4. Every candidate pair is confirmed on the full sets, in integers.
 
 Edge cases: null and empty texts and texts without words have no shingles and
@@ -48,8 +49,9 @@ from .components import connected_components
 
 SHINGLE = 5
 SIZE, BANDS, ROWS = 512, 32, 4
-LEAST_AGREEING = (159, 342)
+LEAST_AGREEING = (155, 335)
 MIN_PERCENT = 75
+CENTRES, MORE_CENTRES = 8, 32  # of a bucket in the first round, and times as many in each further one
 MAX_BROADCAST_IDS = 2_000_000  # 16 MB of ids
 
 _WEIGHTS = mix64(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | U64(1)
@@ -188,13 +190,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     signed = to_shared(signatures(docs), "signatures")
     linked = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = to_shared(linked.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands", "prints")).alias("first"))
-                        .select("set_key", F.col("first.doc_id").alias("node"), "first.bands", "first.prints"), "classes")
-    members = classes.select("node", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")) \
+    classes = to_shared(linked.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands", "prints", "n_shingles")).alias("first"))
+                        .select("set_key", F.col("first.doc_id").alias("node"), "first.bands", "first.prints",
+                                F.col("first.n_shingles").alias("size")), "classes")
+    members = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    shared = members.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")) \
         .where("least < most").drop("most")
-    buckets = members.join(shared, "key").join(classes.select("node", "prints"), "node")
-    buckets = to_shared(buckets, "buckets")
+    draw = F.xxhash64("key", "node").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    buckets = members.join(shared, "key").join(classes.select("node", "bands", "prints", "size"), "node")
+    buckets = to_shared(buckets.withColumn("place", draw * F.col("n")).drop("n"), "buckets")
     sets = to_shared(full_sets(docs, buckets.select("node").distinct()), "full-sets")
 
     # every class against the smallest member of its buckets
@@ -202,9 +206,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                        .select(F.col("node").alias("a"), "b"), "pairs")
     links = to_shared(confirmed(tested, sets), "links")
     component = to_shared(connected_components(links), "components")
-    centres = 1
+    buckets, met, centres = buckets.drop("least"), 0, CENTRES
     while True:
-        left = to_shared(_open_members(buckets, component), "open-buckets")
+        left = to_shared(_open_members(buckets.where(F.col("place") >= met), component), "open-buckets")
         if left.isEmpty():
             break
         pairs = to_shared(_next_pairs(left, centres).join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -214,29 +218,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             known = component.select(F.col("node").alias("a"), F.col("component").alias("b"))
             component = to_shared(connected_components(links.unionByName(known)), "components")
         # buckets go on without the centres that have met all of their members
-        buckets = left.where(F.col("place") > centres).select("key", "node", "prints")
-        centres *= 16
+        buckets, met, centres = left.drop("component"), centres, centres * MORE_CENTRES
 
     return _per_document(signed, classes, component)
 
 
 def _open_members(buckets: DataFrame, component: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components, largest first."""
-    placed = buckets.select("key", "node", "prints").join(component, "node", "left") \
-        .withColumn("component", F.coalesce("component", "node"))
+    """Members of the buckets that hold several components."""
+    placed = buckets.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")) \
         .where("low < high").select("key")
-    order = Window.partitionBy("key").orderBy(F.desc("component"), F.desc("node"))
-    return placed.join(several, "key").withColumn("place", F.row_number().over(order))
+    return placed.join(several, "key")
 
 
 def _next_pairs(members: DataFrame, centres: int) -> DataFrame:
-    """Each bucket's first ``centres`` members with its members of other
-    components whose prints agree, as distinct pairs a > b."""
-    centre = members.where(F.col("place") <= centres).select(
-        "key", F.col("node").alias("c"), F.col("component").alias("cc"), F.col("prints").alias("cp"))
-    return members.join(centre, "key").where("component <> cc").where(alike(F.col("prints"), F.col("cp"))).select(
-        F.greatest("node", "c").alias("a"), F.least("node", "c").alias("b")).distinct()
+    """The centres of each bucket (its members up to a place) with its members
+    of other components, as distinct pairs a > b: in the first band that both
+    share (a pair that meets in a later one is left to the bucket of its first),
+    if sizes and prints allow the similarity."""
+    centre = members.where(F.col("place") < centres).select(
+        "key", *[F.col(c).alias("c_" + c) for c in ("node", "component", "bands", "prints", "size", "place")])
+    earlier = F.zip_with(F.slice("bands", F.lit(1), F.col("band")), F.slice("c_bands", F.lit(1), F.col("band")),
+                         lambda x, y: x == y)
+    fits = 100 * F.least("size", "c_size") >= MIN_PERCENT * F.greatest("size", "c_size")
+    return members.join(centre, "key").where("component <> c_component AND struct(place, node) > struct(c_place, c_node)").where(fits) \
+        .where(~F.exists(earlier, lambda same: same)).where(alike(F.col("prints"), F.col("c_prints"))) \
+        .select(F.greatest("node", "c_node").alias("a"), F.least("node", "c_node").alias("b")).distinct()
 
 
 def _per_document(signed: DataFrame, classes: DataFrame, component: DataFrame) -> DataFrame:
