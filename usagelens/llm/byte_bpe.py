@@ -9,9 +9,10 @@ Pre-tokens are matched by the public pattern; each is encoded separately, and a
 pre-token that is itself in the vocabulary is that one id. Decoding maps ids
 back to their bytes.
 
-Edge cases: a null text counts as empty; an empty text has no ids; repeated
-rows are encoded alike; an empty table gives an empty result; other input
-columns are kept unless they clash with ``ids``.
+Edge cases: a null text counts as empty; an empty text has no ids; texts of any
+length are encoded whole, one at a time; repeated rows are encoded alike; an
+empty table gives an empty result; other input columns are kept unless they
+clash with an added one.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from pyspark.sql import DataFrame, types as T
 from .common import text_batches
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-CACHE_BOUND = 400_000
+CACHE_BOUND = 150_000
+REMEMBERED = 64  # letters of the longest pre-token that is remembered
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -89,13 +91,14 @@ def sentencepiece_model(pieces: list[bytes]) -> bytes:
 
 
 class ByteBpe:
-    """Encoder and decoder of one vocabulary. Ids of short pre-tokens are
-    remembered, at most ``CACHE_BOUND`` of them."""
+    """Encoder and decoder of one vocabulary. Ids of pre-tokens of at most
+    ``REMEMBERED`` letters are remembered, about ``CACHE_BOUND`` of them."""
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         import regex
         import sentencepiece
         self.pieces = load_ranks(path)
+        self._names = list(map(str, range(len(self.pieces))))
         self._whole = {p: i for i, p in enumerate(self.pieces)}
         self._chars = dict(enumerate(byte_characters()))
         self._model = sentencepiece.SentencePieceProcessor(
@@ -112,16 +115,22 @@ class ByteBpe:
 
     def encode(self, text: str) -> np.ndarray:
         tokens, cache = self._find(text), self._cache
-        for token in set(tokens).difference(cache):
-            cache[token] = self._pre_token(token)
-        ids = np.frombuffer(b"".join(map(cache.__getitem__, tokens)), "<u4")
-        if len(cache) > CACHE_BOUND:
+        new = set(tokens).difference(cache)
+        if len(cache) + len(new) > CACHE_BOUND:
             cache.clear()
-        return ids
+            new = set(tokens)
+        long = {}
+        for token in new:
+            (cache if len(token) <= REMEMBERED else long)[token] = self._pre_token(token)
+        ids = map(cache.__getitem__, tokens) if not long else (cache[t] if t in cache else long[t] for t in tokens)
+        return np.frombuffer(b"".join(ids), "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids.tolist()))
 
+    def ids_digest(self, ids: np.ndarray) -> str:
+        return sha256(",".join(map(self._names.__getitem__, ids.tolist())).encode()).hexdigest()
+
 
 @lru_cache(maxsize=2)
 def shared_bpe(path: str) -> ByteBpe:
@@ -129,41 +138,33 @@ def shared_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def encode_texts(df: DataFrame, text: str = "text", vocabulary: str = RANKS) -> DataFrame:
-    """Adds ``ids``: the text's ids as little-endian unsigned 32-bit integers."""
-    kept = [c for c in df.columns if c != "ids"]
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("ids", T.BinaryType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = shared_bpe(public_tokenizers.path(vocabulary))
-        for batch in text_batches(batches, text):
-            ids = [bpe.encode(t or "").tobytes() for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in kept], pa.array(ids, pa.binary())], [*kept, "ids"])
-
-    return df.mapInArrow(run, schema)
+DIGESTS = ["n_tokens", "ids_sha256", "decoded_sha256"]
 
 
-def id_digests(df: DataFrame, vocabulary: str = RANKS) -> DataFrame:
-    """Adds to rows with ``ids``: n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 (bytes that the ids
-    decode to). Input columns with these names are replaced."""
-    added = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    kept = [c for c in df.columns if c not in added]
-    schema = T.StructType([df.schema[c] for c in kept]).add("n_tokens", T.LongType()) \
-        .add("ids_sha256", T.StringType()).add("decoded_sha256", T.StringType())
+def encode_texts(df: DataFrame, text: str = "text", vocabulary: str = RANKS, digests: bool = False,
+                 keep_ids: bool = True) -> DataFrame:
+    """Replaces ``text`` by ``ids``: its ids as little-endian unsigned 32-bit
+    integers. With ``digests`` the ids are decoded again and n_tokens, ids_sha256
+    (decimal ids joined by commas) and decoded_sha256 (the decoded bytes) are
+    added. One pass: a task has one encoder, and no text leaves it."""
+    added = ["ids"] * keep_ids + DIGESTS * digests
+    kept = [c for c in df.columns if c not in [text, *added]]
+    types = {"ids": T.BinaryType(), "n_tokens": T.LongType()}
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(c, types.get(c, T.StringType())) for c in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = shared_bpe(public_tokenizers.path(vocabulary))
-        names = list(map(str, range(len(bpe.pieces))))
-        for batch in batches:
-            n, of_ids, of_bytes = [], [], []
-            for raw in batch.column("ids"):
-                ids = np.frombuffer(raw.as_buffer(), "<u4")
-                n.append(len(ids))
-                of_ids.append(sha256(",".join(map(names.__getitem__, ids.tolist())).encode()).hexdigest())
-                of_bytes.append(sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in kept], pa.array(n, pa.int64()), pa.array(of_ids, pa.string()),
-                 pa.array(of_bytes, pa.string())], [*kept, *added])
+        for batch in text_batches(batches, text, 1 << 20):
+            out = {c: [] for c in added}
+            for t in batch.column(text):
+                ids = bpe.encode(t.as_py() or "")
+                if keep_ids:
+                    out["ids"].append(ids.tobytes())
+                if digests:
+                    out["n_tokens"].append(len(ids))
+                    out["ids_sha256"].append(bpe.ids_digest(ids))
+                    out["decoded_sha256"].append(sha256(bpe.decode(ids)).hexdigest())
+            columns = [pa.array(out[c], {"ids": pa.binary(), "n_tokens": pa.int64()}.get(c, pa.string())) for c in added]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *columns], [*kept, *added])
 
     return df.mapInArrow(run, schema)

@@ -73,7 +73,7 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every whole text of ``documents``, decoded again."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return byte_bpe.id_digests(byte_bpe.encode_texts(docs).select("doc_id", "ids")).drop("ids")
+    return byte_bpe.encode_texts(docs, digests=True, keep_ids=False)
 
 
 @query
