@@ -1,7 +1,6 @@
 from pyspark.sql import functions as F
 
 from usagelens.functions import text as T
-from usagelens.functions.aggregates import true_median, upper_median
 
 
 def one(spark, col, value, schema="x string"):
@@ -50,14 +49,6 @@ def test_integer_division_and_sign(spark):
     assert [r[0] for r in df.select(T.sign_symbol("x")).collect()] == ["+", "-", None]
 
 
-def test_medians(spark):
-    df = spark.createDataFrame([(v,) for v in (1, 2, 3, 4)], "x long")
-    r = df.agg(upper_median("x", "long").alias("u"), true_median("x").alias("t")).first()
-    assert (r["u"], r["t"]) == (3, 2.5)
-    df = spark.createDataFrame([(v,) for v in (5, 1, 3)], "x long")
-    assert df.agg(upper_median("x", "long")).first()[0] == 3
-
-
 def test_null_safe_is_not(spark):
     # X IS NOT 1 over (NULL, 0, 1) -> (true, true, false)
     df = spark.createDataFrame([(None,), (0,), (1,)], "x int")

@@ -1,73 +1,11 @@
-"""Aggregate helpers (A4-A6, A7, A14) built from Spark's exact aggregates.
-
-All of them are partial (map-side) aggregates: their buffers hold one entry
-per *distinct value*, never one per row, so a hot group costs no more memory
-than a small one.
-"""
+"""Aggregate helpers (A7); medians and quantiles are in ``operators.order_stats``."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# ceil((0.5 + eps) * n) = n div 2 + 1 for every n below 1 / eps
-_UPPER = 0.5 + 1e-10
-
-
-def _sql_name(col: str) -> str:
-    return "`" + col.replace("`", "``") + "`"
-
-
-def upper_median(col: str, cast: str | None = None) -> Column:
-    """A4: the value at 0-based offset ``n div 2`` of the ascending order.
-
-    ``percentile_disc(0.5)`` would be the lower median for even n.
-    """
-    out = F.expr(f"percentile_disc({_UPPER}) WITHIN GROUP (ORDER BY {_sql_name(col)})")
-    return out.cast(cast) if cast else out
-
-
-def true_median(col: str) -> Column:
-    """Mean of the two middle values for even n (exact)."""
-    return F.percentile(F.col(col), F.lit(0.5))
-
-
-def quartiles(col: str) -> Column:
-    """Exact 25 / 50 / 75 % percentiles (interpolated, as R's default)."""
-    return F.percentile(F.col(col), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-
 
 def sorted_set(col: str) -> Column:
     """Distinct values as a sorted array (deterministic GROUP_CONCAT DISTINCT)."""
     return F.array_sort(F.collect_set(F.col(col)))
-
-
-def concat_distinct(col: str, sep: str = ",") -> Column:
-    """Distinct values joined in sorted order."""
-    return F.array_join(sorted_set(col), sep)
-
-
-def median_row_id(df, by: str, id_col: str):
-    """A5: id of the row at 0-based offset ``n div 2`` of the (by, id) order,
-    found without sorting the table in one task:
-
-    1. one aggregate: n, the upper-median value v of ``by`` (exact,
-       partial), the count below v and the count equal to v;
-    2. among the rows with ``by = v`` the j-th smallest id is
-       ``percentile_disc((j - 0.5) / m)`` -- again a partial aggregate.
-
-    Returns a Python value (None for an empty table).
-    """
-    first = df.agg(F.count("*").alias("n"), upper_median(by).alias("v")).first()
-    if not first or first["n"] == 0:
-        return None
-    n, v = first["n"], first["v"]
-    col = F.col(by).cast("double")
-    counts = df.agg(F.count_if(col < F.lit(v)).alias("c"),
-                    F.count_if(col == F.lit(v)).alias("m")).first()
-    j = n // 2 - counts["c"] + 1
-    p = (j - 0.5) / counts["m"]
-    ties = df.where(col == F.lit(v))
-    row = ties.agg(F.expr(
-        f"percentile_disc({p!r}) WITHIN GROUP (ORDER BY {_sql_name(id_col)})").alias("id")).first()
-    return row["id"]

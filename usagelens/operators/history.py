@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import true_median
 from ..functions.text import first_line, identifiers, sign_symbol
 from ..session import cut_lineage
 from . import windows
 from .joins import broadcast_checked
+from .order_stats import quantiles, ranked_values
 
 # Fixed values of the study's trend rules
 MIN_COMMITS = 5
@@ -253,7 +253,8 @@ def median_commits_per_label(net: DataFrame, ratings: DataFrame) -> DataFrame:
     non-zero commits (a project rated twice with one label counts once)."""
     per = net.where(F.col("net") != 0).groupBy("project_id").agg(F.count("*").alias("n"))
     lab = ratings.select("project_id", "label").distinct()
-    return lab.join(per, "project_id").groupBy("label").agg(true_median("n").alias("median_commits"))
+    ranked = ranked_values(lab.join(per, "project_id"), {"n": F.col("n")}, ["label"])
+    return quantiles(ranked, ["label"], F.col("whole").cast("double"), {"median_commits": 0.5})
 
 
 def resume_partial(commits: DataFrame, deltas: DataFrame, projects: DataFrame):

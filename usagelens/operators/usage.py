@@ -13,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import median_row_id, quartiles, sorted_set, upper_median
+from ..functions.aggregates import sorted_set
 from ..functions.text import base_name, idiv, natural_join
 from .joins import broadcast_checked
+from .order_stats import median_by_row, quantiles, ranked_values, upper_median
 
 KIND = {True: "machine-specific", False: "machine-independent"}
 
@@ -141,9 +142,10 @@ def usage_density(usages: DataFrame) -> DataFrame:
     upper median."""
     per = usages.groupBy("project_id").agg(F.count("*").alias("n"), F.max("loc").alias("loc"))
     every = per.select(idiv("loc", F.col("n")).alias("every_x"))
+    median = upper_median(every, "every_x")
     return every.agg(F.min("every_x").alias("min_every_x"), F.max("every_x").alias("max_every_x"),
-                     F.round(F.avg("every_x"), 6).alias("avg_every_x"),
-                     upper_median("every_x", "long").alias("median_every_x"))
+                     F.round(F.avg("every_x"), 6).alias("avg_every_x")) \
+        .select("*", median.alias("median_every_x"))
 
 
 def usage_distribution(usages: DataFrame, unique: bool = False,
@@ -153,8 +155,9 @@ def usage_distribution(usages: DataFrame, unique: bool = False,
     u = usages if machine_specific is None else \
         usages.where(F.col("machine_specific") == F.lit(machine_specific))
     per = per_project(u, unique)
-    return per.agg(F.max("count").alias("max_count"), F.round(F.avg("count"), 6).alias("avg_count"),
-                   upper_median("count", "long").alias("median_count"))
+    median = upper_median(per, "count")
+    return per.agg(F.max("count").alias("max_count"), F.round(F.avg("count"), 6).alias("avg_count")) \
+        .select("*", median.alias("median_count"))
 
 
 def boxplot_rows(usages: DataFrame, unique: bool) -> DataFrame:
@@ -175,17 +178,15 @@ def boxplot_rows(usages: DataFrame, unique: bool) -> DataFrame:
 def boxplot_summary(rows: DataFrame) -> DataFrame:
     """Per kind on log10 scale: quartiles (interpolated), whiskers
     (most extreme values within 1.5 IQR) and number of outliers."""
-    r = rows.withColumn("lx", F.log10("count"))
-    q = r.groupBy("kind").agg(quartiles("lx").alias("q"))
-    q = q.select("kind", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                 F.col("q")[2].alias("q3"))
+    lx = F.log10("whole")
+    ranked = ranked_values(rows, {"count": F.col("count")}, ["kind"])
+    q = quantiles(ranked, ["kind"], lx, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
-    j = r.join(F.broadcast(q), "kind")
-    inside = (F.col("lx") >= F.col("q1") - 1.5 * iqr) & (F.col("lx") <= F.col("q3") + 1.5 * iqr)
-    out = j.groupBy("kind", "q1", "median", "q3").agg(
-        F.min(F.when(inside, F.col("lx"))).alias("lower"),
-        F.max(F.when(inside, F.col("lx"))).alias("upper"),
-        F.count_if(~inside).alias("outliers"), F.count("*").alias("n"))
+    inside = (lx >= F.col("q1") - 1.5 * iqr) & (lx <= F.col("q3") + 1.5 * iqr)
+    # whiskers and outliers from the counted values, not from the rows again
+    out = ranked.join(broadcast_checked(q), "kind").groupBy("kind", "q1", "median", "q3").agg(
+        F.min(F.when(inside, lx)).alias("lower"), F.max(F.when(inside, lx)).alias("upper"),
+        F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("outliers"), F.max("total").alias("n"))
     return out.select("kind", *[F.round(c, 6).alias(c) for c in ["q1", "median", "q3", "lower", "upper"]],
                       "outliers", "n")
 
@@ -202,8 +203,8 @@ def project_overview(projects: DataFrame) -> DataFrame:
     avg and the value on the project that is the upper median by LOC
     (median-by, A5; ties by id), in long form."""
     p = projects.select("id", "loc", "commits", "committers", "first_commit", "last_commit")
-    mid = median_row_id(p, "loc", "id")
-    of_mid = F.col("id") == F.lit(mid)
+    mid = median_by_row(p, "loc", "id").scalar()
+    of_mid = F.col("id") == mid
     seconds = {m: F.unix_timestamp(F.col(m).cast("timestamp")).cast("double") for m in ("first_commit", "last_commit")}
 
     def line(metric: str, value: Column, avg: Column) -> Column:

@@ -65,10 +65,10 @@ def _ranged(df: DataFrame, order: list, partitions: int | None) -> DataFrame:
     the partition id and a per-partition increasing id fixed by a reliable
     checkpoint (so the two passes below see the same layout)."""
     from ..session import cut_lineage
-    spark = df.sparkSession
-    n = partitions or max(spark.sparkContext.defaultParallelism,
-                          int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    s = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # without a given number the partitions follow the bytes shuffled (adaptive
+    # execution joins neighbouring ranges)
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    s = (ranged.sortWithinPartitions(*order)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mono", F.monotonically_increasing_id()))
     return cut_lineage(s)
