@@ -19,8 +19,8 @@ LIBC_CATEGORY = "other-libc"
 MOST_FREQUENT, GREEDY = "most-frequent", "greedy"
 # Shares of projects reported by the threshold table
 THRESHOLDS = [10.0, 50.0, 90.0, 99.0, 99.99]
-# checkpoint the greedy state every this many steps
-CHECKPOINT_EVERY = 5
+# missing terms of the sets that the driver looks at to pick several terms per job
+KNOWN_TERMS = 200_000
 
 
 def frequency(needs: DataFrame) -> DataFrame:
@@ -63,24 +63,29 @@ def support_by_frequency(needs: DataFrame, assume_libc: bool = False,
     steps gives the curve.
     """
     cand, done = start_configuration(needs, assume_libc, assume_specific, libc_category)
-    step = cand.withColumnRenamed("freq_rank", "step")
-    ranks = broadcast_checked(step.select("term_id", "step").unionByName(
-        done.withColumn("step", F.lit(0))))
-    per_project = needs.select("project_id", "term_id").join(ranks, "term_id") \
-        .groupBy("project_id").agg(F.max("step").alias("need"))
+    return support_curve(needs, cand.select("term_id", "name", F.col("freq_rank").alias("step")), done, MOST_FREQUENT)
+
+
+def support_curve(needs: DataFrame, order: DataFrame, done: DataFrame, decision: str) -> DataFrame:
+    """After each step of ``order`` (term_id, name, step) the number and % of
+    projects all of whose terms are implemented (``done`` from the start; a term
+    in neither is never implemented)."""
+    ranks = broadcast_checked(order.select("term_id", "step").unionByName(done.withColumn("step", F.lit(0))))
+    per_project = needs.select("project_id", "term_id").join(ranks, "term_id", "left") \
+        .groupBy("project_id").agg(F.max("step").alias("need"), F.count_if(F.col("step").isNull()).alias("never")) \
+        .where("never = 0")
     total = needs.select("project_id").distinct().agg(F.count("*")).scalar()
     at = per_project.groupBy("need").agg(F.count("*").alias("newly"))
     base = at.where("need = 0").agg(F.coalesce(F.sum("newly"), F.lit(0))).scalar()
     curve = global_running_sum(
-        step.select("step", "name").join(at, at.need == step.step, "left")
-        .select("step", "name", F.coalesce("newly", F.lit(0)).alias("newly")),
+        order.join(at, at.need == order.step, "left").select("step", "name", F.coalesce("newly", F.lit(0)).alias("newly")),
         [F.col("step")], "newly", "supported")
     return (curve
-            .select(F.col("step").alias("nr_terms"), "name",
+            .select(F.col("step").cast("int").alias("nr_terms"), "name",
                     (F.col("supported") + base).alias("supported"),
                     F.round(F.try_divide((F.col("supported") + base) * 100.0, total), 6)
                     .alias("pct_projects"),
-                    F.lit(MOST_FREQUENT).alias("decision")))
+                    F.lit(decision).alias("decision")))
 
 
 def support_greedy(needs: DataFrame, steps: int | None = None, assume_libc: bool = False,
@@ -89,50 +94,92 @@ def support_greedy(needs: DataFrame, steps: int | None = None, assume_libc: bool
     projects unsupported (= supports most projects whose only missing term it
     is); ties and zero gains go to the most frequent remaining candidate.
 
-    State: the distinct sets of still missing terms, each with the number
-    of projects that have exactly that set (projects with equal sets behave
-    identically), as (set, weight, term) rows hash-partitioned by set. A
-    step is ONE aggregation job: per set the number of missing terms and, if
-    it is one, that term; grouped again by that term (NULL for sets missing
-    more) it yields every candidate's gain and the number of unsupported
-    projects -- at most one row per term, which is all the driver sees. The
-    state is checkpointed to the shared checkpoint folder every few steps.
+    The curve is that of the picked order. See ``greedy_order``.
     """
-    spark = needs.sparkSession
     cand, done = start_configuration(needs, assume_libc, assume_specific, libc_category)
-    # the candidate list is a term dimension: id, name and frequency rank
-    order = {r["term_id"]: (r["freq_rank"], r["name"])
-             for r in cand.select("term_id", "name", "freq_rank").collect()}
-    total = needs.select("project_id").distinct().count()
-    missing = needs.select("project_id", "term_id").join(done, "term_id", "left_anti")
-    # projects with the same set of missing terms behave identically: one
-    # weighted row per distinct set (its size is bounded by the candidates)
-    sets = (missing.groupBy("project_id").agg(F.array_sort(F.collect_list("term_id")).alias("s"))
-            .groupBy("s").agg(F.count("*").alias("w"))
-            .withColumn("set_id", F.monotonically_increasing_id()))
-    state = cut_lineage(sets.select("set_id", "w", F.explode("s").alias("term_id")).repartition("set_id"))
-    remaining = set(order)
-    limit = len(order) if steps is None else min(steps, len(order))
-    rows = []
-    for i in range(1, limit + 1):
-        per = state.groupBy("set_id").agg(F.count("*").alias("n"), F.max("term_id").alias("t"),
-                                          F.max("w").alias("w"))
-        g = per.groupBy(F.when(F.col("n") == 1, F.col("t")).alias("term_id")).agg(F.sum("w").alias("c"))
-        gains, unsupported = {}, 0
-        for r in g.collect():
-            unsupported += r["c"]
-            if r["term_id"] is not None:
-                gains[r["term_id"]] = r["c"]
-        pick = min(remaining, key=lambda t: (-gains.get(t, 0), order[t][0]))
-        remaining.discard(pick)
-        unsupported -= gains.get(pick, 0)
-        state = state.where(F.col("term_id") != F.lit(pick))
-        if i % CHECKPOINT_EVERY == 0:
-            state = cut_lineage(state)
-        rows.append((i, order[pick][1], total - unsupported,
-                     round((total - unsupported) * 100.0 / total, 6), GREEDY))
-    return spark.createDataFrame(
-        rows, "nr_terms int, name string, supported long, pct_projects double, decision string")
+    return support_curve(needs, greedy_order(needs, cand, steps), done, GREEDY)
+
+
+def greedy_order(needs: DataFrame, cand: DataFrame, steps: int | None = None,
+                 known_terms: int = KNOWN_TERMS) -> DataFrame:
+    """(term_id, name, step): the candidates in greedy order.
+
+    State: the distinct sets of missing terms (by frequency rank, ascending) with
+    the number of projects that miss exactly that set; equal sets fall together
+    as terms are picked. A round is one job and picks several terms:
+
+    * While every set misses two terms or more, no pick gains anything, so
+      terms go by frequency up to the smallest second-last rank of a set: then
+      that set misses one term. One minimum gives the whole run.
+    * Else the sets of at most D missing terms are enough for D picks: after j
+      picks every other set still misses D + 1 - j terms. D is the largest
+      for which these sets hold at most ``known_terms`` terms.
+    * If even the sets of one missing term are more than that, their gains are
+      added up in a table and the first is picked.
+    """
+    spark = needs.sparkSession
+    n = cand.count()
+    limit = n if steps is None else min(steps, n)
+    ranked = needs.select("project_id", "term_id").join(cand.select("term_id", "freq_rank"), "term_id")
+    state = cut_lineage(ranked.groupBy("project_id").agg(F.array_sort(F.collect_set("freq_rank")).alias("s"))
+                        .groupBy("s").agg(F.count("*").alias("w")))
+    picks: list[int] = []
+    left = set(range(1, n + 1))
+    while len(picks) < limit:
+        sizes = dict(state.groupBy(F.size("s").alias("m")).agg(F.count("*").alias("c")).collect())
+        if not sizes:
+            batch = sorted(left)
+        elif min(sizes) > 1:
+            last = state.agg(F.min(F.expr("s[size(s) - 2]"))).first()[0]
+            batch = sorted(r for r in left if r <= last)
+        else:
+            total, depth = 0, 0
+            for m in range(1, max(sizes) + 1):
+                total += m * sizes.get(m, 0)
+                if total > known_terms:
+                    break
+                depth = m
+            if depth:
+                known = state.where(F.size("s") <= depth).collect()
+                batch = _greedy_picks([(r["s"], r["w"]) for r in known], left,
+                                      len(left) if depth == max(sizes) else depth)
+            else:
+                best = state.where("size(s) = 1").groupBy(F.col("s")[0].alias("rank")).agg(F.sum("w").alias("gain")) \
+                    .orderBy(F.desc("gain"), "rank").first()
+                batch = [best["rank"]]
+        batch = batch[:limit - len(picks)]
+        picks += batch
+        left.difference_update(batch)
+        if len(picks) < limit:
+            state = cut_lineage(state.select(F.array_except("s", F.lit(batch).cast("array<bigint>")).alias("s"), "w")
+                                .where("size(s) > 0").groupBy("s").agg(F.sum("w").alias("w")))
+    order = spark.createDataFrame([(r, i) for i, r in enumerate(picks, 1)], "freq_rank long, step long")
+    return cand.select("term_id", "name", "freq_rank").join(order, "freq_rank").select("term_id", "name", "step")
+
+
+def _greedy_picks(sets: list[tuple[list[int], int]], left: set[int], n: int) -> list[int]:
+    """``n`` greedy picks among the ranks in ``left``, from the sets of missing ranks."""
+    missing = [set(s) for s, _ in sets]
+    holders: dict[int, list[int]] = {}
+    for i, (s, _) in enumerate(sets):
+        for rank in s:
+            holders.setdefault(rank, []).append(i)
+    gains: dict[int, int] = {}
+    for m, (_, w) in zip(missing, sets):
+        if len(m) == 1:
+            gains[next(iter(m))] = gains.get(next(iter(m)), 0) + w
+    rest, picks, taken = iter(sorted(left)), [], set()
+    for _ in range(min(n, len(left))):
+        pick = min(gains, key=lambda r: (-gains[r], r)) if gains else next(r for r in rest if r not in taken)
+        gains.pop(pick, None)
+        picks.append(pick)
+        taken.add(pick)
+        for i in holders.get(pick, ()):
+            missing[i].discard(pick)
+            if len(missing[i]) == 1:
+                only = next(iter(missing[i]))
+                gains[only] = gains.get(only, 0) + sets[i][1]
+    return picks
 
 
 def support_thresholds(curves: dict[str, DataFrame], thresholds=THRESHOLDS) -> DataFrame:

@@ -108,3 +108,17 @@ q("coverage_by_dimension", " UNION ALL ".join(
 cte("cover_u_brass", "SELECT * FROM cover_u WHERE p_type LIKE '%BRASS'", ["cover_u"])
 cte("cover_s_brass", "SELECT * FROM cover_u_brass WHERE repository % 10 = 0", ["cover_u_brass"])
 q("coverage_inputs", _score("cover_u_brass", "cover_s_brass", ALL), ["cover_u_brass", "cover_s_brass"])
+q("coverage_next", f"""
+WITH RECURSIVE sim AS (SELECT u.repository AS a, s.repository AS b FROM cover_u u JOIN cover_u s ON {' AND '.join(ALL)}),
+     total AS (SELECT count(*) AS n FROM cover_u),
+     g(step, open, added, newly) AS (
+       SELECT 0, (SELECT list(u.repository) FROM cover_u u WHERE NOT EXISTS (
+                    SELECT 1 FROM cover_s s WHERE {' AND '.join(ALL)})), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
+       UNION ALL
+       SELECT g.step + 1, list_filter(g.open, lambda x: NOT list_contains(p.bs, x)), p.a, len(p.bs)
+       FROM g, LATERAL (SELECT sim.a, list(sim.b) AS bs FROM sim WHERE list_contains(g.open, sim.b)
+                        GROUP BY sim.a ORDER BY count(*) DESC, sim.a LIMIT 1) p
+       WHERE g.step < 5)
+SELECT CAST(step AS INTEGER) AS step, added, newly AS newly_covered,
+       round(((SELECT n FROM total) - len(open)) / (SELECT n FROM total), 6) AS score
+FROM g WHERE step > 0""", ["cover_u", "cover_s"])
