@@ -82,6 +82,7 @@ def usage_inputs(spark: SparkSession, sf_dir: str) -> UsageInputs:
     projects = docs.groupBy("source").agg(F.sum("n_chars").cast("long").alias("loc_c")).select(
         _project_id().alias("id"), F.lit("owner").alias("owner"), F.col("source").alias("name"),
         F.concat(F.lit("https://github.com/owner/"), F.col("source")).alias("url"),
+        (_project_id() * 7 % 100).cast("int").alias("stars"),
         "loc_c", F.lit(0).cast("long").alias("loc_h"), F.lit(True).alias("processed"))
     manual_marks = docs.where(F.col("doc_id") % 50 == 0).select(
         F.concat_ws("/", "source", lang_dir, F.concat(F.col("doc_id").cast("string"), F.lit(".c")))
@@ -218,7 +219,7 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PROJECTS-shaped table: project = customer key over its orders."""
     o = read(spark, sf_dir, "orders")
     return o.groupBy("o_custkey").agg(
-        F.sum("o_totalprice").cast("long").alias("loc_c"), F.count("*").cast("int").alias("commits"),
+        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("long").alias("loc_c"), F.count("*").cast("int").alias("commits"),
         F.countDistinct("o_orderpriority").cast("int").alias("committers"),
         F.to_date(F.min("o_orderdate")).alias("first_commit"),
         F.to_date(F.max("o_orderdate")).alias("last_commit")).select(

@@ -126,6 +126,7 @@ FROM usages_raw u""", ["usages_raw", "fragments"])
 cte("usage_projects", """
 SELECT CAST(regexp_extract(source, '[0-9]+', 0) AS BIGINT) AS id, source AS name,
        'https://github.com/owner/' || source AS url,
+       CAST(CAST(regexp_extract(source, '[0-9]+', 0) AS BIGINT) * 7 % 100 AS INTEGER) AS stars,
        CAST(sum(n_chars) AS BIGINT) AS loc_c, CAST(0 AS BIGINT) AS loc_h, true AS processed
 FROM documents GROUP BY source""")
 cte("projects_f", """

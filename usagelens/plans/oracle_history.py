@@ -97,12 +97,13 @@ UNION ALL
 SELECT project_id, 'less than 5 commits', 'automatic' FROM h_net
 WHERE net <> 0 AND project_id IN (SELECT project_id FROM h_analysed)
 GROUP BY project_id HAVING count(commit_nr) < 5""", ["h_ratings", "h_net", "h_analysed"])
-q("median_commits_per_label", """
+cte("label_medians", """
 SELECT r.label, median(c.n) AS median_commits
 FROM (SELECT DISTINCT project_id, label FROM h_ratings) r
 JOIN (SELECT project_id, count(*) AS n FROM h_net WHERE net <> 0 GROUP BY project_id) c
   ON c.project_id = r.project_id
 GROUP BY r.label""", ["h_ratings", "h_net"])
+q("median_commits_per_label", "SELECT * FROM label_medians", ["label_medians"])
 q("resume_partial", """
 WITH done AS (SELECT id FROM h_projects WHERE history_checked),
      c AS (SELECT project_id, count(*) AS nr_commits FROM h_commits WHERE project_id IN (SELECT id FROM done)
@@ -201,7 +202,7 @@ q("worklist_by_label", """
 SELECT DISTINCT project_id FROM rated WHERE "user" = '2' AND label = 'R'
   AND project_id IN (SELECT project_id FROM resolved WHERE status = 'unresolved')""", ["rated", "resolved"])
 q("label_distribution", "SELECT label, count(*) AS count FROM rated GROUP BY label", ["rated"])
-q("decision_summary", """
+cte("decisions", """
 WITH fin AS (SELECT * FROM resolved WHERE final_label IS NOT NULL),
      dec AS (SELECT final_label AS decision, count(*) AS count,
                     count(*) * 100.0 / (SELECT count(*) FROM fin) AS pct FROM fin GROUP BY final_label),
@@ -219,6 +220,7 @@ WITH fin AS (SELECT * FROM resolved WHERE final_label IS NOT NULL),
 SELECT DISTINCT decision, CAST(count AS BIGINT) AS count, round(pct, 6) AS pct,
        replace(regexp_replace(decision, '[ ,]', '', 'g'), '5', 'five') AS metric
 FROM parts""", ["resolved", "rated"])
+q("decision_summary", "SELECT * FROM decisions", ["decisions"])
 q("ratings_of", """
 SELECT project_id, string_agg("user" || '=' || label, ';' ORDER BY "user", label) AS ratings,
        count(*) = 1 AS single

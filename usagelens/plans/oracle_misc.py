@@ -3,11 +3,12 @@ matrix and incremental scans."""
 
 from __future__ import annotations
 
-from .oracle import cte, q
+from . import oracle_history  # noqa: F401  (its tables are used below)
+from .oracle import _shares, cte, q
 
 cte("fx_projects", """
 SELECT o_custkey AS id, 'c' || CAST(o_custkey AS VARCHAR) AS name,
-       CAST(trunc(sum(o_totalprice)) AS BIGINT) AS loc_c, CAST(0 AS BIGINT) AS loc_h,
+       CAST(trunc(sum(CAST(o_totalprice AS DECIMAL(18, 2)))) AS BIGINT) AS loc_c, CAST(0 AS BIGINT) AS loc_h,
        CAST(count(*) AS INTEGER) AS commits, CAST(count(DISTINCT o_orderpriority) AS INTEGER) AS committers,
        CAST(min(o_orderdate) AS DATE) AS first_commit, CAST(max(o_orderdate) AS DATE) AS last_commit,
        o_custkey % 7 <> 0 AS processed
@@ -132,10 +133,61 @@ METRICS = [
     ("nrMachineIndependentBuiltinsUnused",
      f"SELECT count_if(NOT used) FROM {_USED} WHERE documented AND NOT machine_specific"),
 ]
+_KIND = {"MachineSpecific": "machine_specific", "MachineIndependent": "NOT machine_specific"}
+_RAW = "(" + _shares(True) + ")"
+METRICS += [
+    ("nrFromStars", "SELECT min(stars) FROM projects_f"), ("nrToStars", "SELECT max(stars) FROM projects_f"),
+    ("nrKRemovedByDoubleQuotes", f"SELECT nr_quotes // 1000 FROM {_RAW}"),
+    ("percentageRemovedByDoubleQuotes", f"SELECT pct_quotes FROM {_RAW}"),
+    ("percentageBuiltinFilteredByComments", f"SELECT pct_comment FROM {_RAW}"),
+    ("percentageFilteredByCompilerDirectories", f"SELECT pct_vendored FROM {_RAW}"),
+    ("percentageFilteredByBlacklist", f"SELECT pct_manual FROM {_RAW}"),
+    ("nrOtherBuiltins", "SELECT count(*) FROM terms_f WHERE category = 'other'"),
+    ("topMachineSpecificBuiltins", "SELECT count_if(machine_specific) FROM (SELECT * FROM term_counts "
+                                   "ORDER BY projects DESC, term_id LIMIT 100)"),
+    ("percentageDefBuiltinsNotUsed",
+     f"SELECT round(count_if(NOT used) * 100.0 / count(*), 6) FROM {_USED} WHERE documented"),
+    ("percentageUnusedMachineSpecificBuiltins",
+     f"SELECT count_if(NOT used) * 100.0 / count(*) FROM {_USED} WHERE documented AND machine_specific"),
+    ("percentageUnusedMachineIndependetBuiltins",
+     f"SELECT count_if(NOT used) * 100.0 / count(*) FROM {_USED} WHERE documented AND NOT machine_specific"),
+    ("numberProjectsGitHistoryProcessed",
+     "SELECT count(*) FROM projects_f WHERE id IN (SELECT id FROM h_projects WHERE history_checked)"),
+    ("numberProjectsNotAnalyzed",
+     "SELECT count(*) FROM projects_f WHERE id NOT IN (SELECT id FROM h_projects WHERE history_checked) "
+     "AND id IN (SELECT project_id FROM usages)"),
+    ("percentageProjectsGitHistoryProcessed",
+     "SELECT count(*) * 100.0 / (SELECT count(DISTINCT project_id) FROM usages) FROM projects_f "
+     "WHERE id IN (SELECT id FROM h_projects WHERE history_checked)"),
+    ("numberProjectsTrendAnalyzed", "SELECT count(*) FROM rated"),
+]
+METRICS += [(n, f"SELECT count_if(category = '{c}') FROM (SELECT * FROM term_counts ORDER BY projects DESC, term_id LIMIT {k})")
+            for n, k, c in [
+                ("topOtherBuiltins", 50, "other"), ("topSyncBuiltins", 50, "sync"), ("topAtomicBuiltins", 100, "atomic"),
+                ("topOtherLibcBuiltins", 100, "other-libc"), ("topInternalBuiltins", 100, "GCC internal"),
+                ("topAddressBuiltins", 100, "address"), ("offsetofBuiltins", 100, "offsetof"),
+                ("objectSizeBuiltins", 100, "object-size"), ("overflowBuiltins", 100, "overflow"),
+                ("topPowerpcAltivecBuiltins", 100, "powerpc-altivec"), ("topArmCBuiltins", 100, "arm-c-extensions")]]
+METRICS += [(f"k{k}BuiltinsTotal", f"SELECT count(*) // 1000 FROM usages WHERE {w}") for k, w in _KIND.items()]
+METRICS += [(f"nr{k}BuiltinsUsed", f"SELECT count_if(used) FROM {_USED} WHERE documented AND {w}") for k, w in _KIND.items()]
+METRICS += [(f"medianNr{k}BuiltinsPerProject", "SELECT " + _median(
+    "c", f"(SELECT count(*) AS c FROM usages WHERE {w} GROUP BY project_id)")) for k, w in _KIND.items()]
+METRICS += [(f"medianNumber{k}UniqueBuiltinsPerProject", "SELECT " + _median(
+    "c", f"(SELECT count(DISTINCT term_id) AS c FROM usages WHERE {w} GROUP BY project_id)")) for k, w in _KIND.items()]
+METRICS += [(n, "SELECT count_if(l = {0}) * 100.0 / count(*) FROM (SELECT count(DISTINCT label) AS l FROM rated "
+                "GROUP BY project_id HAVING count(DISTINCT \"user\") = 3)".format(k))
+            for k, n in enumerate(["classificationsNrAgreed", "classificationsNrTwoAgreed", "classificationsAllDisagreed"], 1)]
+_LISTS = [
+    f"""SELECT '{m}' || replace(category, '-', ''), {v} FROM (
+  SELECT category, count_if(NOT used AND documented) AS n, count(*) AS a FROM {_USED} GROUP BY category) WHERE n > 0"""
+    for m, v in (("nrUnused", "n"), ("percentageUnused", "n * 100.0 / a"))]
+_LISTS += [f"SELECT '{m}' || metric, {v} FROM decisions" for m, v in (("nr", "count"), ("percentage", "pct"))]
+_LISTS += ["SELECT 'median' || label, median_commits FROM label_medians"]
 q("metric_catalogue", "\nUNION ALL\n".join(
-    f"SELECT '{name}' AS metric, round(CAST(({sql}) AS DOUBLE), 6) AS value" for name, sql in METRICS),
+    [f"SELECT '{name}' AS metric, round(CAST(({sql}) AS DOUBLE), 6) AS value" for name, sql in METRICS] +
+    [f"SELECT m, round(CAST(v AS DOUBLE), 6) FROM ({sql}) t(m, v)" for sql in _LISTS]),
   ["terms", "excluded_terms", "terms_f", "term_counts", "usage_projects", "projects_f", "usages",
-   "usages_raw", "fragments"])
+   "usages_raw", "fragments", "h_projects", "rated", "decisions", "label_medians"])
 q("work_queue", """
 SELECT id, loc_c + loc_h AS loc FROM fx_projects WHERE NOT processed ORDER BY loc, id LIMIT 10""",
   ["fx_projects"])

@@ -169,9 +169,12 @@ def q_history_incremental(spark, sf):
 
 @register("metric_catalogue")
 def q_catalogue(spark, sf):
-    """Every scalar metric of the usage study as (metric, value)."""
+    """Every metric of the usage study as (metric, value)."""
     from ..operators.catalogue import catalogue
-    return catalogue(study(spark, sf)).select("metric", "value")
+    from . import queries_history as Q
+    i, _ = Q.hist(spark, sf)
+    return catalogue(study(spark, sf), i.projects, Q.rated(spark, sf), Q.q_decisions(spark, sf),
+                     Q.q_median_commits(spark, sf)).select("metric", "value")
 
 
 @register("work_queue")
