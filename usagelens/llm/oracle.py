@@ -91,11 +91,11 @@ WITH pieces AS (
 ), c AS (
   SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10
 ), cut AS (
-  SELECT c.*, j.k AS at, x.f AS l, y.f AS r, (1000000 * a::HUGEINT * a) // (x.f::HUGEINT * y.f) AS score
+  SELECT c.*, j.k AS cut_k, x.f AS l, y.f AS r, (1000000 * a::HUGEINT * a) // (x.f::HUGEINT * y.f) AS score
   FROM c JOIN range(1, 3) j(k) ON j.k < c.k
   JOIN f x ON x.lang = c.lang AND x.k = j.k AND x.phrase = array_to_string(w[1:j.k], ' ')
   JOIN f y ON y.lang = c.lang AND y.k = c.k - j.k AND y.phrase = array_to_string(w[j.k + 1:], ' ')
-  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, at) = 1
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, cut_k) = 1
 ), held AS (
   SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS longest
   FROM c, unnest([1, 2]) u(i) WHERE k = 3 GROUP BY ALL
