@@ -87,18 +87,20 @@ WITH pieces AS (
   SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
 ), f AS (
   SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
-  FROM w, range(1, 4) t(k), unnest(range(1, len(w) - k + 2)) u(i) GROUP BY ALL
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 4) t(k)) GROUP BY ALL
 ), c AS (
   SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10
+), parts AS (
+  SELECT lang, k, phrase, a, j AS cut_k, array_to_string(w[1:j], ' ') AS first, array_to_string(w[j + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c)
 ), cut AS (
-  SELECT c.*, j.k AS cut_k, x.f AS l, y.f AS r, (1000000 * a::HUGEINT * a) // (x.f::HUGEINT * y.f) AS score
-  FROM c JOIN range(1, 3) j(k) ON j.k < c.k
-  JOIN f x ON x.lang = c.lang AND x.k = j.k AND x.phrase = array_to_string(w[1:j.k], ' ')
-  JOIN f y ON y.lang = c.lang AND y.k = c.k - j.k AND y.phrase = array_to_string(w[j.k + 1:], ' ')
-  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, cut_k) = 1
+  SELECT p.*, x.f AS l, y.f AS r, (1000000 * a::HUGEINT * a) // (x.f::HUGEINT * y.f) AS score
+  FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = p.first JOIN f y ON y.lang = p.lang AND y.phrase = p.rest
+  QUALIFY row_number() OVER (PARTITION BY p.lang, p.phrase ORDER BY score, cut_k) = 1
 ), held AS (
-  SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS longest
-  FROM c, unnest([1, 2]) u(i) WHERE k = 3 GROUP BY ALL
+  SELECT lang, phrase, max(a) AS longest FROM (
+    SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM c WHERE k = 3)
+  GROUP BY ALL
 ), total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
   phrase, a, l, r, n, score::BIGINT AS score
