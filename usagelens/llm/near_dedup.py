@@ -20,7 +20,7 @@ Linking:
    copies by one comparison each.
 3. Buckets that still hold several components are compared exhaustively, but
    never all at once: every member has a random place in its bucket, and round
-   by round the members up to place 8, 256, 8192, ... become centres and meet
+   by round the members up to place 64, 8192, ... become centres and meet
    the members behind them that are in other components, until no bucket has a
    pair left that is not compared or in one component. A pair leaves that join
    only in the first band that both share, if the sizes of the sets allow the
@@ -51,7 +51,7 @@ SHINGLE = 5
 SIZE, BANDS, ROWS = 512, 32, 4
 LEAST_AGREEING = (155, 335)
 MIN_PERCENT = 75
-CENTRES, MORE_CENTRES = 8, 32  # of a bucket in the first round, and times as many in each further one
+CENTRES, MORE_CENTRES = 64, 128  # of a bucket in the first round, and times as many in each further one
 MAX_BROADCAST_IDS = 2_000_000  # 16 MB of ids
 
 _WEIGHTS = mix64(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | U64(1)
