@@ -40,16 +40,18 @@ def secrets(text, kinds, classes, allow):
     spans = list(base)
     for k, c in enumerate(classes, 3):
         for m in re.finditer(c.regex, t):
-            v = m[0]
-            if not re.search(c.needs, v) or any(re.search(a, v) for a in allow):
-                continue
-            high = []
-            for i in range(len(v) - c.window + 1):
-                n = Counter(v[i:i + c.window]).values()
-                if -sum(x / c.window * math.log2(x / c.window) for x in n) >= c.bits - 1e-9:
-                    high.append(i)
-            if high:
-                spans.append((m.start() + high[0], k, m.start() + high[-1] + c.window))
+            allowed = [x.span() for x in re.finditer("|".join(f"(?:{a})" for a in allow), m[0])]
+            for lo, hi in zip([0] + [e for _, e in allowed], [s for s, _ in allowed] + [len(m[0])]):
+                v = m[0][lo:hi]
+                if not re.search(c.needs, v):
+                    continue
+                high = []
+                for i in range(len(v) - c.window + 1):
+                    n = Counter(v[i:i + c.window]).values()
+                    if -sum(x / c.window * math.log2(x / c.window) for x in n) >= c.bits - 1e-9:
+                        high.append(i)
+                if high:
+                    spans.append((m.start() + lo + high[0], k, m.start() + lo + high[-1] + c.window))
     show = lambda s: ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(s))
     return tuple(sum(s[1] == k for s in base) for k in range(3)) + (sha(show(base)), show(spans))
 

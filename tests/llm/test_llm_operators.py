@@ -93,6 +93,9 @@ def test_secret_scan(spark, texts, given):
         "token=secret=abcdefghijklmnop", "token: password: abcdefghijklmn", f'é𝒳 API_KEY="{some(30)}" x',
         "AKIA" + some(20, "ABC019") + " AKIAshort", "x" * 30000 + "deadbeefdeadbeef" + "é" * 50,
         " ".join(f'token = "{some(40, "0123456789abcdef")}"' for _ in range(700)), some(400), "EXAMPLE" + some(40),
+        f"example/{some(32)}-Example_{some(25)}", "sha256-" + some(44, many[:62]) + "_" + some(30),
+        "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", some(19) + "example" + some(19),
+        "1b4e28ba-2fa1-41d2-883f-0016d3cca427", "src/Main/" * 9,
         some(60, "0123456789ABCDEF"), "secret'  :  'ABCDEFGHIJK' passwd=xxxxxxxxxxxxx"])]
     rows = [x for x in texts if len(x[1] or "") < 3000] + own
     given(documents=spark.createDataFrame(rows, "doc_id long, text string"))
@@ -123,6 +126,23 @@ def test_redaction(spark):
     assert got == {1: "é [SECRET] and [SECRET]", 2: None, 3: ""}
 
 
+def test_allow_list_suppresses_windows_only(spark):
+    key = "q7Zt2LmXw9Rb4KcV8nHy3PsJ6dGf1TaE"
+    texts = [f"x example/{key} y", f"x example_{key} y", f"x {key} y", "x wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY y",
+             "x sha256-" + key + " y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in secret_scan.redact(secret_scan.scan_secrets(df)).orderBy("doc_id").collect()]
+    assert not any(key[4:-4] in t for t in got[:3]) and "example" in got[0]
+    assert got[3:] == texts[3:]
+
+
+def test_redaction_of_very_many_spans(spark):
+    lines = [f"n{i} token=abcdefghijkl{i:06d}" for i in range(100_000)]
+    df = spark.createDataFrame([(1, " é ".join(lines))], "doc_id long, text string")
+    row = secret_scan.redact(secret_scan.scan_secrets(df)).select("text", "doc_id").collect()[0]
+    assert row.text == " é ".join(f"n{i} [SECRET]" for i in range(100_000))
+
+
 @pytest.mark.parametrize("block", [1 << 20, 500])
 def test_decontamination(spark, texts, documents, given, monkeypatch, block):
     monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", (10, block))

@@ -6,14 +6,18 @@ and the sum of c * log2(c) are updated by the symbol that enters and the one
 that leaves, so each step costs the same however long the candidate is. A
 candidate is a finding if a window's Shannon entropy reaches the class's
 bound; its span runs from the first such window to the end of the last. An
-allow list of patterns suppresses findings of the method, never base ones.
+allow list of patterns suppresses the windows that overlap a match of it, never
+base findings: matches cut a candidate and its pieces are judged alone, so a
+key beside an allowed word is still found.
 
 All positions are code points, end exclusive. Findings of a text are computed
 inside its row: no shuffle, no user function.
 
 Edge cases: a null text counts as empty; an empty text has no spans; repeated
 rows are scanned alike; an empty table gives an empty result; input columns
-that clash with result names are replaced.
+that clash with result names are replaced. Very long texts and texts of very
+many spans are read and masked whole: arrays grow in blocks, so the cost of a
+text of n spans grows with n * n / 512 small steps at most.
 """
 
 from __future__ import annotations
@@ -69,35 +73,41 @@ ENTROPY = [
 ]
 
 # Strings of high entropy that are no secrets: documentation samples, content
-# digests with a named algorithm, version-4 style identifiers, paths.
+# digests with a named algorithm, version-4 style identifiers, paths. A match
+# covers what it allows, and is never empty.
 ALLOW = [
-    r"(?i)example",
-    r"(?i)^sha(1|256|384|512)[-_]",
-    r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"^/?([A-Za-z_-]+/)+[A-Za-z_-]*$",
+    r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
+    r"(?i:example)",
+    r"(?i:^sha(?:1|256|384|512)[-_][a-z0-9+/=]+)",
+    r"(?i:^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$)",
+    r"^/?(?:[A-Za-z_-]+/)+[A-Za-z_-]*$",
 ]
 
 
-def _prefix_sums(lengths: Column) -> Column:
-    """Start of each element: sums of all earlier lengths, in blocks, so that
-    growing an array stays cheap for very many matches."""
+def _in_blocks(xs: Column) -> Column:
+    """The array in pieces of ``BLOCK`` elements; one empty piece if empty."""
+    last = F.floor(F.greatest(F.size(xs) - 1, F.lit(0)) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(xs, b * BLOCK + 1, BLOCK))
+
+
+def _before(values: Column, combine) -> Column:
+    """For each element, all earlier ones combined, from 0 on; in blocks, so
+    that growing an array stays cheap for very many matches."""
     def running(xs: Column, base: Column) -> Column:
         return F.aggregate(xs, F.struct(base.alias("at"), F.array().cast("array<int>").alias("out")),
-                           lambda a, x: F.struct((a["at"] + x).alias("at"),
+                           lambda a, x: F.struct(combine(a["at"], x).alias("at"),
                                                  F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
 
-    zero = F.lit(0)
+    def starts(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda xs: F.aggregate(xs, F.lit(0), combine))
+        return F.flatten(F.zip_with(blocks, running(totals, F.lit(0)), running))
 
-    def in_blocks(xs: Column) -> Column:
-        return F.when(F.size(xs) > 0, F.transform(
-            F.sequence(zero, F.floor((F.size(xs) - 1) / BLOCK).cast("int")),
-            lambda b: F.slice(xs, b * BLOCK + 1, BLOCK))).otherwise(F.array().cast("array<array<int>>"))
+    return _bound(_bound(values, _in_blocks), starts)
 
-    def starts(blocks: Column) -> Column:
-        totals = F.transform(blocks, lambda xs: F.aggregate(xs, zero, lambda a, x: a + x))
-        return F.flatten(F.zip_with(blocks, running(totals, zero), running))
 
-    return _bound(_bound(lengths, in_blocks), starts)
+def _prefix_sums(lengths: Column) -> Column:
+    """Start of each element: the sum of all earlier lengths."""
+    return _before(lengths, lambda a, x: a + x)
 
 
 def _bound(value: Column, use) -> Column:
@@ -177,15 +187,30 @@ def _long_enough(found: Column, min_group: int) -> Column:
     return F.filter(found, lambda m: F.length(m["group"]) >= min_group) if min_group else found
 
 
+def _not_allowed(m: Column, allow: list[str]) -> Column:
+    """Pieces (start, value) of a candidate between matches of the allow list."""
+    whole = F.struct(m["start"].alias("start"), m["value"].alias("value"))
+    if not allow:
+        return F.array(whole)
+    listed = "|".join(f"(?:{a})" for a in allow)
+    cut = F.lit(r"\G([\s\S]*?)(" + listed + r"|\z)")
+    pieces = F.zip_with(F.regexp_extract_all(m["value"], cut, F.lit(1)),
+                        F.regexp_extract_all(m["value"], cut, F.lit(2)),
+                        lambda g, v: F.struct(g.alias("gap"), F.length(v).alias("allowed")))
+    placed = _bound(pieces, lambda ps: F.zip_with(
+        ps, _prefix_sums(F.transform(ps, lambda x: F.length(x["gap"]) + x["allowed"])),
+        lambda x, at: F.struct((m["start"] + at).alias("start"), x["gap"].alias("value"))))
+    return F.when(m["value"].rlike(listed), placed).otherwise(F.array(whole))
+
+
 def _with_entropy(found: Column, cls: EntropyClass, allow: list[str]) -> Column:
-    """Candidates that the allow list does not suppress, with their windows."""
-    def wanted(m: Column) -> Column:
-        ok = m["value"].rlike(cls.needs)
-        for a in allow:
-            ok = ok & ~m["value"].rlike(a)
-        return ok
-
-    return F.transform(F.filter(found, wanted), lambda m: F.struct(
+    """Pieces of candidates outside the allow list, with their windows."""
+    def holds(m: Column) -> Column:
+        return m["value"].rlike(cls.needs)
+
+    pieces = F.flatten(F.transform(F.filter(found, holds), lambda m: _not_allowed(m, allow)))
+    long = F.filter(pieces, lambda m: (F.length(m["value"]) >= cls.window) & holds(m))
+    return F.transform(long, lambda m: F.struct(
         m["start"].alias("start"), _entropy_span(m["value"], cls).alias("at")))
 
 
@@ -240,18 +265,22 @@ def redact(df: DataFrame, text: str = "text", spans: str = "spans", mask: str =
     """Replaces the union of all spans by ``mask``; the rest of the text stays.
 
     Spans are sorted by start: a span opens a new piece if it starts behind
-    every earlier end. A null text stays null."""
-    s = F.col(spans)
-    out = df.withColumn("__reach", F.aggregate(
-        s, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda a, x: F.struct(F.greatest(a["at"], x["end"]).alias("at"),
-                              F.concat(a["out"], F.array(F.greatest(a["at"], x["end"]))).alias("out")))["out"])
-    reach = F.col("__reach")  # largest end among the spans up to each one
-    opens = F.transform(s, lambda x, i: F.when((i == 0) | (x["start"] > F.get(reach, i - 1)), F.struct(
-        F.coalesce(F.get(reach, i - 1), F.lit(0)).alias("from"), x["start"].alias("to"))))
-    out = out.withColumn("__keep", F.filter(opens, lambda x: x.isNotNull()))
-    pieces = F.transform("__keep", lambda k: F.concat(
-        F.substring(F.col(text), k["from"] + 1, k["to"] - k["from"]), F.lit(mask)))
-    tail = F.substring(F.col(text), F.element_at(reach, -1) + 1, F.length(text))
+    every earlier end. Pieces are cut from blocks of the text. A null text stays
+    null."""
+    s, t = F.col(spans), F.col(text)
+    out = df.withColumn("__reach", _before(F.transform(s, lambda x: x["end"]), lambda a, x: F.greatest(a, x)))
+    out = out.withColumn("__keep", F.filter(
+        F.zip_with(s, "__reach", lambda x, r: F.struct(r.alias("from"), x["start"].alias("to"))),
+        lambda k, i: (i == 0) | (k["to"] > k["from"])))
+
+    def masked(block: Column) -> Column:
+        first = F.get(block, F.lit(0))["from"]
+        cut = F.struct(first.alias("from"), block.alias("keep"), F.substring(
+            t, first + 1, F.element_at(block, -1)["to"] - first).alias("text"))
+        return _bound(cut, lambda c: F.array_join(F.transform(c["keep"], lambda k: F.concat(
+            F.substring(c["text"], k["from"] - c["from"] + 1, k["to"] - k["from"]), F.lit(mask))), ""))
+
+    pieces = F.transform(_bound(F.col("__keep"), _in_blocks), masked)
+    tail = F.substring(t, F.array_max(F.transform(s, lambda x: x["end"])) + 1, F.length(t))
     return out.withColumn(text, F.when(F.size(s) > 0, F.concat(F.array_join(pieces, ""), tail))
-                          .otherwise(F.col(text))).drop("__reach", "__keep")
+                          .otherwise(t)).drop("__reach", "__keep")
