@@ -2,7 +2,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from usagelens.operators import scan
+from usagelens.operators import exclude, ratings, scan
 from usagelens.sources.files import explode_lines
 from usagelens.sources.sinks import project_key, write_delimited, write_series_per_project
 from usagelens.streaming import incremental
@@ -54,6 +54,60 @@ def test_scan_incremental_keeps_unknown_names(spark, tmpdir_path):
     assert got == [("foo", 1), ("xbar", 2)]
 
 
+def test_scan_with_growing_dictionary(spark, tmpdir_path):
+    src, sink, log, ckpt = (os.path.join(tmpdir_path, d) for d in ("src", "sink", "log", "ckpt"))
+    terms = spark.createDataFrame([(1, "foo"), (2, "bar")], "id long, name string")
+    files = [(1, "a.c", "foo xb // xa\nfoo"), (1, "vendor/b.c", "xa xb xc"), (2, "c.c", 'xc "xd" bar\nfoo xb')]
+    batches = [spark.createDataFrame([f], SCHEMA) for f in files]
+    run = lambda: incremental.scan_growing(spark, src, SCHEMA, lambda d: d, terms, sink, log, ckpt,
+                                           "^x[a-z]", max_files_per_trigger=1)
+    for b in batches:
+        b.coalesce(1).write.mode("append").parquet(src)
+        run()
+    run()  # nothing new
+
+    def state():
+        words = incremental.read_dictionary(spark, terms, log)
+        return words, sorted((r.name, r.id) for r in words.collect())
+
+    words, ids = state()
+    assert ids == [("bar", 2), ("foo", 1), ("xa", 3), ("xb", 4), ("xc", 5), ("xd", 6)]
+    columns = ["project_id", "path", "line_nr", "line", "line_hash", "vendored", "marker", "term", "term_id"]
+    rows = lambda df: sorted(df.select(*columns).withColumn(
+        "why", exclude.fragment_category(F.col("line"), F.col("term"))).collect(), key=str)
+    whole = scan.scan_terms(exclude.line_flags(explode_lines(spark.createDataFrame(files, SCHEMA))), words, None)
+    expected = rows(whole)
+    assert rows(incremental.read_usages(spark, sink, words)) == expected
+    assert len({r.why for r in expected}) == 3  # code, comment, quotes
+    # a batch run again changes nothing, later ids included
+    incremental.scan_batch(batches[1], 1, terms, sink, log, "^x[a-z]", {})
+    words, again = state()
+    assert again == ids and rows(incremental.read_usages(spark, sink, words)) == expected
+
+
+def test_series_in_order_and_split(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "series")
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 10 < 8, "hot").otherwise(F.concat(F.lit("p"), F.col("id") % 7)).alias("project_key"),
+        F.pmod(F.hash("id"), F.lit(500)).alias("date"), F.col("id").alias("tie")).repartition(5)
+    write_series_per_project(df, path, order=("date", "tie"), partitions=6)
+    expected = {}
+    for r in df.orderBy("date", "tie").collect():
+        expected.setdefault(r.project_key, []).append(f"{r.date};{r.tie}")
+    for key, series in expected.items():
+        folder = os.path.join(path, f"project_key={key}")
+        parts = [open(os.path.join(folder, f)).read().split() for f in sorted(os.listdir(folder)) if f.endswith(".csv")]
+        assert [x for p in parts for x in p[1:]] == series
+        assert key != "hot" or len(parts) > 2
+
+
+def test_sample_items_of_any_id(spark):
+    ids = [0, 1, 7, 3_400_000_000, 2 ** 40 + 3, 2 ** 63 - 1, -5]
+    ids += list(range(100, 200))
+    got = {r.project_id for r in ratings.sample_items(spark.createDataFrame([(i,) for i in ids], "project_id long")).collect()}
+    assert got == {i for i in ids if (i * 2654435761 % 2 ** 32) * 100 < 15 * 2 ** 32}
+
+
 def test_literal_prefix():
     assert scan.literal_prefix("^__builtin_[a-z]") == "__builtin_"
     assert scan.literal_prefix("^foo|^bar") is None

@@ -65,8 +65,11 @@ def resolve_ratings(ratings: DataFrame, resolver: str = RESOLVER) -> DataFrame:
 
 def sample_items(items: DataFrame, pct: int = 15, key: str = "project_id") -> DataFrame:
     """Deterministic pseudo-random subset of about ``pct`` % of the items
-    (multiplicative hash of the id: the same item is always in or out)."""
-    h = F.pmod(F.col(key) * F.lit(_GOLDEN), F.lit(1 << 32))
+    (multiplicative hash of the id: the same item is always in or out). The id
+    is multiplied in halves of 16 bits, so no id overflows a long."""
+    i = F.col(key).cast("long")
+    low, high = (x.bitwiseAND(F.lit(0xFFFF).cast("long")) for x in (i, F.shiftright(i, 16)))
+    h = F.pmod(low * F.lit(_GOLDEN) + F.pmod(high * F.lit(_GOLDEN), F.lit(1 << 16)) * F.lit(1 << 16), F.lit(1 << 32))
     return items.where(h * 100 < F.lit(pct) * F.lit(1 << 32))
 
 

@@ -67,8 +67,14 @@ def delete_where(target: DataFrame, keys: DataFrame, key, negate: bool = False)
 
 
 def extend_dictionary(terms: DataFrame, names: DataFrame, defaults: dict) -> DataFrame:
-    """K8: give unseen names a new id ``max(id) + rank`` (ranked by name) and
-    append them with the given attribute values; each name gets one id.
+    """K8: give unseen names a new id and append them with the given attribute
+    values; each name gets one id."""
+    return terms.unionByName(new_entries(terms, names, defaults))
+
+
+def new_entries(terms: DataFrame, names: DataFrame, defaults: dict) -> DataFrame:
+    """The rows that ``extend_dictionary`` appends: unseen names with the id
+    ``max(id) + rank`` (ranked by name), so the same two inputs give the same ids.
 
     The ranking is a distributed sort of the new names (``global_rank``),
     not a single-partition window.
@@ -83,8 +89,7 @@ def extend_dictionary(terms: DataFrame, names: DataFrame, defaults: dict) -> Dat
     for c in terms.columns:
         if c not in added.columns:
             added = added.withColumn(c, F.lit(None).cast(terms.schema[c].dataType))
-    added = added.select(*[F.col(c).cast(terms.schema[c].dataType) for c in terms.columns])
-    return terms.unionByName(added)
+    return added.select(*[F.col(c).cast(terms.schema[c].dataType) for c in terms.columns])
 
 
 def assign_ids(parts: list[DataFrame], schema) -> DataFrame:

@@ -15,11 +15,18 @@ def write_delimited(df: DataFrame, path: str, sep: str = ";", mode: str = "overw
     df.write.mode(mode).option("header", "true").option("sep", sep).csv(path)
 
 
-def write_series_per_project(df: DataFrame, path: str, key: str = "project_key",
-                             sep: str = ";", mode: str = "overwrite") -> None:
-    """K2: one directory ``key=<value>`` per project holding its series; rows
-    are clustered by project first so each project is written by few tasks."""
-    (df.repartition(key).sortWithinPartitions(key)
+def write_series_per_project(df: DataFrame, path: str, key: str = "project_key", sep: str = ";",
+                             mode: str = "overwrite", order: tuple[str, ...] = ("date",),
+                             partitions: int | None = None) -> None:
+    """K2: one directory ``key=<value>`` per project holding its series in
+    ``order``: rows are range-partitioned by (key, order), so a project of any
+    size is cut into numbered parts, and its files in name order, each from top
+    to bottom, are the series. A few tasks hold a project, one task many small ones."""
+    # a key that cannot be null keeps the sort order up to the writer
+    rows = df.withColumn(key, F.coalesce(F.col(key).cast("string"), F.lit("")))
+    by = [key, *order]
+    ranged = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
+    (ranged.sortWithinPartitions(*by)
      .write.mode(mode).partitionBy(key).option("header", "true").option("sep", sep).csv(path))
 
 

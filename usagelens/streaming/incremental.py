@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import scan
+from ..operators import exclude, scan, tables
 from ..sources.files import explode_lines
 
 
@@ -41,6 +41,60 @@ def scan_incremental(spark: SparkSession, source_dir: str, schema, to_files: Cal
     q.awaitTermination()
 
 
+def scan_growing(spark: SparkSession, source_dir: str, schema, to_files: Callable[[DataFrame], DataFrame],
+                 terms: DataFrame, sink: str, dictionary: str, checkpoint: str,
+                 unknown_pattern: str = scan.UNKNOWN_PATTERN, defaults: dict | None = None,
+                 glob: str | None = None, max_files_per_trigger: int | None = None) -> None:
+    """N1 with K8: as ``scan_incremental``, and the dictionary grows with the
+    batches. Each micro-batch writes its usages (line text, line hash and flags,
+    so exclusion can run on them) and the names it saw first to folders of its
+    own, see ``scan_batch``. ``terms`` is the dictionary of the first run,
+    unchanged in later ones; ``read_dictionary`` and ``read_usages`` give both
+    as they stand."""
+    reader = spark.readStream.schema(schema).format("parquet")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        scan_batch(batch, batch_id, terms, sink, dictionary, unknown_pattern, defaults or {})
+
+    q = (to_files(reader.load(source_dir)).writeStream.foreachBatch(write)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def scan_batch(files: DataFrame, batch_id: int, terms: DataFrame, sink: str, dictionary: str,
+               unknown_pattern: str, defaults: dict) -> None:
+    """One micro-batch of ``scan_growing``, the text read and tokenised once.
+
+    Known names are the entries of *earlier* batches, and new ids follow from
+    those and the batch's names alone: a batch that is run again overwrites its
+    folders with the same rows and ids. Usages of names first seen in this
+    batch are stored without an id; readers join it."""
+    spark = files.sparkSession
+    known = read_dictionary(spark, terms, dictionary, batch_id)
+    lines = exclude.line_flags(explode_lines(files))
+    out = f"{sink}/batch_id={batch_id}"
+    scan.scan_terms(lines, known, unknown_pattern).write.mode("overwrite").parquet(out)
+    added = tables.new_entries(known, scan.unknown_terms(spark.read.parquet(out)), defaults)
+    added.write.mode("overwrite").parquet(f"{dictionary}/batch_id={batch_id}")
+
+
+def read_dictionary(spark: SparkSession, terms: DataFrame, dictionary: str,
+                    before: int | None = None) -> DataFrame:
+    """K8: ``terms`` and the entries that the batches of ``scan_growing`` added
+    (those with an id below ``before`` only). Batch ids start at 0."""
+    if before == 0:
+        return terms
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in terms.schema.fields)
+    log = spark.read.schema(f"{schema}, batch_id long").parquet(dictionary)
+    if before is not None:
+        log = log.where(F.col("batch_id") < before)
+    return terms.unionByName(log.drop("batch_id"))
+
+
 def history_incremental(spark: SparkSession, source_dir: str, schema,
                         to_deltas: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str,
                         glob: str | None = None, max_files_per_trigger: int | None = None) -> None:
