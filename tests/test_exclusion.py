@@ -54,3 +54,36 @@ def test_project_filter(spark):
     rows = [(1, "a", 90, 20, True), (2, "gcc", 500, 0, True), (3, "b", 50, 0, True), (4, "c", 500, 0, False)]
     df = spark.createDataFrame(rows, "id long, name string, loc_c long, loc_h long, processed boolean")
     assert [r["id"] for r in exclude.project_filter(df).collect()] == [1]
+
+
+def _usages(spark):
+    rows = [(1, "p/a.c", "// n", 1), (1, "p/a.c", "n m", 2), (2, "p/gcc/b.c", "// n", 1), (2, "p/b.c", "m n", 2),
+            (2, "p/c.c", "n m", 1), (3, "p/c.c", "// n", 2), (3, "p/c.c", "m", None)]
+    u = spark.createDataFrame(rows, "project_id long, path string, line string, term_id long")
+    return exclude.line_flags(u).withColumn("excluded", F.col("path") == "p/a.c") \
+        .withColumn("line_key", exclude.line_key(F.col("line"))) \
+        .withColumn("auto_category", F.when((F.col("line") == "// n") & (F.col("term_id") == 1) & ~F.col("vendored"), "COMMENT")) \
+        .drop("line", "line_hash")
+
+
+def test_usages_are_marked_alike_whatever_is_broadcast(spark, monkeypatch):
+    # (line, term) pairs listed: ("// n", 1) and, by hand, ("n m", 2)
+    want = {True: [True, True, True, False, False, False, False], False: [True, True, True, False, True, True, False]}
+    usages = _usages(spark)
+    for fragments_, lines in [(16 << 20, 10), (0, 10), (0, 0)]:
+        monkeypatch.setattr(exclude, "FRAGMENT_BROADCAST_BYTES", fragments_)
+        monkeypatch.setattr(exclude, "MAX_BROADCAST_LINES", lines)
+        fragments = exclude.sync_manual(usages, exclude.fragments_from_scan(usages))
+        for by_term, flags in want.items():
+            got = exclude.mark_excluded(usages, fragments, by_term).collect()
+            assert sorted(r["excluded"] for r in got) == sorted(flags)
+            assert sum(r["excluded"] and r["project_id"] == 3 for r in got) == flags[5]
+
+
+def test_usages_hold_no_line_text(spark):
+    from conftest import SF001
+    from usagelens.plans.queries import study
+    s = study(spark, SF001)
+    assert "line" not in s.usages_raw.columns and "line" not in s.fragments.columns
+    texts = s.with_lines(s.fragments)
+    assert texts.columns == ["line", "term_id", "category"] and texts.count() == s.fragments.count()
