@@ -116,3 +116,32 @@ def test_discover_terms_prefix_filter(spark):
     known = spark.createDataFrame([("__builtin_clz",)], "name string")
     got = sorted(r.name for r in scan.discover_terms(lines, known).collect())
     assert got == ["__builtin_new1", "__builtin_new2"]
+
+
+def test_discover_terms_takes_identifiers_by_prefix(spark):
+    lines = spark.createDataFrame([("__builtin_a1(x__builtin_b, __builtin_c9_d)",), ("__builtin_, é__builtin_z2",)], "line string")
+    found = scan.discover_terms(lines, spark.createDataFrame([("__builtin_a1",)], "name string"))
+    assert sorted(r.name for r in found.collect()) == ["__builtin_c9_d", "__builtin_z2"]
+    assert "(?<![A-Za-z0-9_])__builtin_" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_balance_cuts_large_files_without_sorting(spark, tmp_path, monkeypatch):
+    from usagelens.sources import files
+    path = str(tmp_path / "t")
+    spark.range(4000).selectExpr("id", "sha2(string(id), 256) AS text").repartition(8).write.parquet(path)
+    df = spark.read.parquet(path)
+    assert files.balance(df).rdd.getNumPartitions() == df.rdd.getNumPartitions()
+    monkeypatch.setattr(files, "LARGE_FILE_BYTES", 1 << 10)
+    monkeypatch.setattr(files, "TASK_BYTES", 8 << 10)
+    dealt = files.balance(df)
+    assert dealt.rdd.getNumPartitions() > 16 and dealt.count() == 4000
+    assert "RoundRobin" not in dealt._jdf.queryExecution().executedPlan().toString()
+
+
+def test_projects_by_terms_sorts_no_usages(spark):
+    from usagelens.operators import usage
+    u = spark.createDataFrame([(1, "u1", 2500, 7), (1, "u1", 2500, 8), (2, "u2", 900, 7), (None, "u", 1, 1)],
+                              "project_id long, url string, loc long, term_id long")
+    out = usage.projects_by_terms(u, 2, unique=False)
+    assert [tuple(r) for r in out.collect()] == [(1, "u1", 2, 2), (2, "u2", 0, 1)]
+    assert "first(" not in out._jdf.queryExecution().executedPlan().toString()
