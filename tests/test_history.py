@@ -97,3 +97,13 @@ def test_running_sum_hot_key_same_timestamp(spark):
     got = {r.h: r.acc for r in windows.running_sum(df, "k", "ts", "h", "v", "acc", partitions=8).collect()}
     assert got["h00000"] == 1 and got["h02999"] == 3000 and got["g049"] == 100
     assert all(got[f"h{i:05d}"] == i + 1 for i in range(3000))
+
+
+def test_snapshot_deltas_null_keys_stay_apart_without_join(spark):
+    schema = "project_id long, file_key long, term_id long"
+    old = spark.createDataFrame([(1, 1, 1), (1, 1, 2), (None, 1, 1)], schema)
+    new = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (None, 1, 1)], schema)
+    out = H.snapshot_deltas(old, new, ["project_id", "file_key"])
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(
+        [(1, 1, 2, -1), (1, 2, 2, 1), (None, 1, 1, -1), (None, 1, 1, 1)], key=str)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()

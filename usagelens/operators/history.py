@@ -7,7 +7,9 @@ email), deltas (hash, project_id, delta[, path, line, term_id]), projects
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import first_line, identifiers, sign_symbol
@@ -62,13 +64,13 @@ def diff_deltas(diffs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def snapshot_deltas(old_usages: DataFrame, new_usages: DataFrame, key: list[str]) -> DataFrame:
     """H2: net change per (key..., term) = occurrences in the new version
-    minus occurrences in the old version (full outer join of two counts)."""
+    minus occurrences in the old version: one aggregate of both, the old ones
+    counting -1. A NULL in the key equals nothing: both versions keep a row."""
     k = key + ["term_id"]
-    o = old_usages.groupBy(*k).agg(F.count("*").alias("_old"))
-    n = new_usages.groupBy(*k).agg(F.count("*").alias("_new"))
-    j = o.join(n, k, "full")
-    return j.select(*k, (F.coalesce("_new", F.lit(0)) - F.coalesce("_old", F.lit(0))).alias("delta")) \
-        .where(F.col("delta") != 0)
+    sides = [u.select(*k, F.lit(n).cast("long").alias("_n")) for u, n in ((old_usages, -1), (new_usages, 1))]
+    apart = F.when(reduce(Column.__or__, [F.col(c).isNull() for c in k]), F.col("_n"))
+    return sides[0].unionByName(sides[1]).groupBy(*k, apart.alias("_apart")) \
+        .agg(F.sum("_n").alias("delta")).where(F.col("delta") != 0).drop("_apart")
 
 
 # ------------------------------------------------------------------ H3

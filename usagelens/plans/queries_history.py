@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import history as H
 from ..operators import ratings as R
 from ..operators import scan, tables
-from ..sources.files import explode_lines
+from ..sources.files import balance, explode_lines
 from ..sources.sinks import materialise
 from . import fixtures as fx
 from .queries import register, study
@@ -116,8 +116,8 @@ def q_diff_deltas(spark, sf):
 def q_snapshot(spark, sf):
     s = study(spark, sf)
     old, new = fx.snapshot_versions(spark, sf)
-    scan_old = scan.scan_terms(explode_lines(old), s.known_terms, None)
-    scan_new = scan.scan_terms(explode_lines(new), s.known_terms, None)
+    scan_old = scan.scan_terms(explode_lines(balance(old)), s.known_terms, None)
+    scan_new = scan.scan_terms(explode_lines(balance(new)), s.known_terms, None)
     return H.snapshot_deltas(scan_old, scan_new, ["project_id", "file_key"])
 
 
