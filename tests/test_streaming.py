@@ -125,3 +125,18 @@ def test_sinks(spark, tmpdir_path):
     write_delimited(df.select("name", "nr_builtins"), os.path.join(tmpdir_path, "csv"))
     back = spark.read.option("header", "true").option("sep", ";").csv(os.path.join(tmpdir_path, "csv"))
     assert back.count() == 3 and back.columns == ["name", "nr_builtins"]
+
+
+def test_scan_query_reads_a_file_per_slot_and_batch(spark, monkeypatch):
+    from conftest import SF001
+    from usagelens.plans.registry import QUERIES
+    seen, plain = [], incremental.scan_incremental
+
+    def watched(spark, src, *args, max_files_per_trigger, **more):
+        seen.append((max_files_per_trigger, len([f for f in os.listdir(src) if f.endswith(".parquet")])))
+        plain(spark, src, *args, max_files_per_trigger=max_files_per_trigger, **more)
+
+    monkeypatch.setattr(incremental, "scan_incremental", watched)
+    assert QUERIES["scan_incremental"](spark, SF001).count() > 0
+    slots = spark.sparkContext.defaultParallelism
+    assert len(seen) == 2 and all(n == slots and slots < files <= 4 * slots for n, files in seen)

@@ -131,8 +131,8 @@ def q_outcomes(spark, sf):
 
 @register("scan_incremental")
 def q_scan_incremental(spark, sf):
-    """The term scan over the documents table as a stream of several files
-    (one per micro-batch), appended to a Parquet sink, then a second run that
+    """The term scan over the documents table as a stream of four micro-batches
+    (each of as many files as the cluster has task slots), appended to a Parquet sink, then a second run that
     finds nothing new. The dictionary lacks the unknown names at first; the
     sink's usages per (project, term) have their ids from the full one."""
     s = study(spark, sf)
@@ -144,10 +144,11 @@ def q_scan_incremental(spark, sf):
         return fx.files_of(docs)
 
     src = scratch_path(spark, f"n1-src-{run}")
-    fx.read(spark, sf, "documents").repartition(4).write.parquet(src)
+    docs, slots = fx.read(spark, sf, "documents"), spark.sparkContext.defaultParallelism
+    docs.repartition(4 * slots, *docs.columns).write.parquet(src)
     for _ in range(2):
         incremental.scan_incremental(spark, src, docs_schema, to_files, s.known_terms, sink, ckpt,
-                                     max_files_per_trigger=1, unknown_pattern=s.unknown_pattern)
+                                     max_files_per_trigger=slots, unknown_pattern=s.unknown_pattern)
     return incremental.read_usages(spark, sink, s.terms).groupBy("project_id", "term_id") \
         .agg(F.count("*").alias("n"))
 
