@@ -80,3 +80,18 @@ def test_corpus(spark, monkeypatch):
     got = spelling_variants.spelling_variants(df).collect()
     assert sorted(map(tuple, got)) == brute_variants(brute_counts(docs)) and len(got) > 50
     assert spelling_variants.spelling_variants(df.where("text IS NULL")).count() == 0
+
+
+def test_levels_read_edges_of_one_depth(spark, monkeypatch):
+    from usagelens.llm import spelling_variants as sv
+    depths, plain = [], sv.next_states
+
+    def watched(frontier, edges):
+        depths.append([r[0] for r in edges.select("depth").distinct().collect()])
+        return plain(frontier, edges)
+
+    monkeypatch.setattr(sv, "next_states", watched)
+    words = spark.createDataFrame([("letter",), ("better",), ("letters",), ("lettes",)], "word string")
+    got = sorted(map(tuple, sv.near_words(words).collect()))
+    assert ("letter", "letters") in got and ("better", "letter") in got and ("lettes", "letters") in got
+    assert all(len(d) <= 1 for d in depths) and depths[0] == [0]

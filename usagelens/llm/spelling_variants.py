@@ -123,9 +123,9 @@ def trie_steps(words: DataFrame) -> DataFrame:
 
 
 def trie_edges(words: DataFrame, steps: DataFrame) -> DataFrame:
-    """node, salt, first, label, child, ends (a word ends at the child), salts
-    (copies of the child's edges, 0 if it has none), nexts (the letters that may
-    follow the child)."""
+    """depth (edges from the root to the node), node, salt, first, label, child,
+    ends (a word ends at the child), salts (copies of the child's edges, 0 if it
+    has none), nexts (the letters that may follow the child)."""
     nodes = steps.groupBy("node", "next").agg(F.count("*").alias("n")).groupBy("node").agg(
         F.sum(F.when(F.col("next").isNotNull(), F.col("n"))).alias("below"), F.count("next").alias("degree"),
         F.bool_or(F.col("next").isNull()).alias("ends"), F.array_join(F.collect_set("next"), "").alias("nexts"))
@@ -136,14 +136,14 @@ def trie_edges(words: DataFrame, steps: DataFrame) -> DataFrame:
     path = kept.groupBy("end").agg(F.sort_array(F.collect_list(F.struct("position", "node"))).alias("path"))
     links = path.select("end", F.explode(F.expr(
         "transform(sequence(1, size(path) - 1), i -> named_struct('node', path[i - 1].node, 'child', path[i].node, "
-        "'since', path[i - 1].position, 'until', path[i].position))")).alias("x"))
-    links = links.groupBy("x.child").agg(F.min(F.struct("end", "x.node", "x.since", "x.until")).alias("x"))
+        "'since', path[i - 1].position, 'until', path[i].position, 'depth', i - 1))")).alias("x"))
+    links = links.groupBy("x.child").agg(F.min(F.struct("end", "x.node", "x.since", "x.until", "x.depth")).alias("x"))
     text = words.select("word", F.col("end").alias("e"))
     edges = links.join(text, F.col("x.end") == F.col("e")).select(
-        F.col("x.node").alias("node"), "child", F.expr("substring(word, x.since + 1, x.until - x.since)").alias("label"))
+        F.col("x.depth").alias("depth"), F.col("x.node").alias("node"), "child", F.expr("substring(word, x.since + 1, x.until - x.since)").alias("label"))
     copies = nodes.where("salts > 0").select("node", F.explode(F.expr("sequence(0, int(salts) - 1)")).alias("salt"))
     return edges.join(nodes.withColumnRenamed("node", "child"), "child").join(copies, "node").select(
-        "node", "salt", F.expr("substring(label, 1, 1)").alias("first"), "label", "child", "ends", "salts", "nexts")
+        "depth", "node", "salt", F.expr("substring(label, 1, 1)").alias("first"), "label", "child", "ends", "salts", "nexts")
 
 
 def next_states(frontier: DataFrame, edges: DataFrame) -> DataFrame:
@@ -191,7 +191,8 @@ def edited_behind_half(words: DataFrame) -> DataFrame:
     found = ends.where("false").select("word", F.col("end").alias("node"))
     levels = 0
     while root is not None:
-        level = to_shared(next_states(frontier, edges), "trie-level")
+        # a level leads one edge on, so its states are all at nodes of one depth
+        level = to_shared(next_states(frontier, edges.where(F.col("depth") == levels)), "trie-level")
         found = found.unionByName(level.where("edits = 1 AND ends AND position = length(word)").select("word", "node"))
         levels += 1
         if levels % 16 == 0:
