@@ -381,3 +381,11 @@ def test_empty_pipeline(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_meet_the_most_central_first(spark):
+    # 9 shares a bucket with each of 1 to 5, which share none (but 1 and 2)
+    from usagelens.llm import near_dedup
+    rows = [(k, n, 2) for k, n in enumerate([1, 2, 3, 4, 5])] + [(k, 9, 2) for k in range(5)] + [(7, 1, 2), (7, 2, 2)]
+    got = near_dedup._central_pairs(spark.createDataFrame(rows, "key long, node long, met long"))
+    assert sorted(map(tuple, got.collect())) == [(9, n) for n in (1, 2, 3, 4, 5)]

@@ -16,8 +16,10 @@ bands miss, and mostly at J = 0.62.
 Linking:
 1. Documents with equal sets form a class; only its smallest doc_id goes on.
 2. Members of a band bucket are candidates. Every class is first compared
-   with the smallest member of all its buckets, which joins large groups of
-   copies by one comparison each.
+   with the most central of its buckets' members: the one whose own buckets
+   hold most members in all. An original is alike to all of its near copies
+   and so more central than a copy, which may be alike to the original only;
+   one comparison each joins large groups.
 3. Buckets that still hold several components are compared exhaustively, but
    never all at once: every member has a random place in its bucket, and round
    by round the members up to place 64, 8192, ... become centres and meet
@@ -194,19 +196,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                         .select("set_key", F.col("first.doc_id").alias("node"), "first.bands", "first.prints",
                                 F.col("first.n_shingles").alias("size")), "classes")
     members = classes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = members.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")) \
-        .where("least < most").drop("most")
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     draw = F.xxhash64("key", "node").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
     buckets = members.join(shared, "key").join(classes.select("node", "bands", "prints", "size"), "node")
-    buckets = to_shared(buckets.withColumn("place", draw * F.col("n")).drop("n"), "buckets")
+    buckets = to_shared(buckets.withColumn("place", draw * F.col("n")).withColumnRenamed("n", "met"), "buckets")
     sets = to_shared(full_sets(docs, buckets.select("node").distinct()), "full-sets")
 
-    # every class against the smallest member of its buckets
-    tested = to_shared(buckets.where("node <> least").groupBy("node").agg(F.min("least").alias("b"))
-                       .select(F.col("node").alias("a"), "b"), "pairs")
+    # every class against the most central member of its buckets
+    tested = to_shared(_central_pairs(buckets.select("key", "node", "met")), "pairs")
     links = to_shared(confirmed(tested, sets), "links")
     component = to_shared(connected_components(links), "components")
-    buckets, met, centres = buckets.drop("least"), 0, CENTRES
+    buckets, met, centres = buckets.drop("met"), 0, CENTRES
     while True:
         left = to_shared(_open_members(buckets.where(F.col("place") >= met), component), "open-buckets")
         if left.isEmpty():
@@ -223,6 +223,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _per_document(signed, classes, component)
 
 
+def _central_pairs(buckets: DataFrame) -> DataFrame:
+    """Pairs a > b: each node and the most central member (of the largest sum
+    of ``met``, the members of a bucket; the smaller node of equal ones) of its
+    buckets, unless it is that member itself."""
+    weight = buckets.groupBy("node").agg(F.sum("met").alias("weight"))
+    placed = buckets.join(weight, "node").select("key", "node", F.struct("weight", (-F.col("node")).alias("less")).alias("x"))
+    centre = placed.groupBy("key").agg(F.max("x").alias("c"))
+    best = placed.join(centre, "key").groupBy("node").agg((-F.max("c")["less"]).alias("c")).where("node <> c")
+    return best.select(F.greatest("node", "c").alias("a"), F.least("node", "c").alias("b")).distinct()
+
+
 def _open_members(buckets: DataFrame, component: DataFrame) -> DataFrame:
     """Members of the buckets that hold several components."""
     placed = buckets.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
