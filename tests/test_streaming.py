@@ -133,7 +133,7 @@ def test_scan_query_reads_a_file_per_slot_and_batch(spark, monkeypatch):
     seen, plain = [], incremental.scan_incremental
 
     def watched(spark, src, *args, max_files_per_trigger, **more):
-        seen.append((max_files_per_trigger, len([f for f in os.listdir(src) if f.endswith(".parquet")])))
+        seen.append((max_files_per_trigger, len(spark.read.parquet(src).inputFiles())))
         plain(spark, src, *args, max_files_per_trigger=max_files_per_trigger, **more)
 
     monkeypatch.setattr(incremental, "scan_incremental", watched)
